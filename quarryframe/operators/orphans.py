@@ -108,8 +108,8 @@ def orphans(tables: dict[str, DataFrame], refs: tuple[Reference, ...] = REFERENC
     few = F.broadcast(to.join(heavy, ["target", "key"], "left_semi"))
     many = flagged.where("heavy is null").join(to, ["target", "key"], "left")
     both = flagged.where("heavy").join(few, ["target", "key"], "left").unionByName(many)
-    absent = F.col("since").isNull() | (F.col("since") > F.col("at")) | (F.col("until") <= F.col("at"))
-    return both.where(F.col("at").isNotNull() & F.coalesce(absent, F.lit(True))).select("ref_table", "ref_field", "record_id", "key", "at").distinct()
+    absent = F.col("since").isNull() | (F.col("since") > F.col("at")) | F.coalesce(F.col("until") <= F.col("at"), F.lit(False))
+    return both.where(F.col("at").isNotNull() & absent).select("ref_table", "ref_field", "record_id", "key", "at").distinct()
 
 
 def orphan_report(tables: dict[str, DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters with the Unicode property White_Space (a fixed set).
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "".join(map(chr, (*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
