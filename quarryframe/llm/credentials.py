@@ -370,6 +370,17 @@ def credentials(sources: DataFrame, evidence: DataFrame, least: float = CUT) ->
     return kept.distinct()
 
 
+_KEY_BODY = re.compile(r"(?<![\\A-Za-z0-9+/=])[A-Za-z0-9+/=]{4,}|(?<=\\[nr])[A-Za-z0-9+/=]{4,}")
+
+
+def hidden_spans(text: str, c: Candidate) -> list[tuple[int, int]]:
+    """What of a credential is masked: all of it, but of a key block only the encoded runs, since quotes and signs of code may lie between."""
+    if c.kind != "pem":
+        return [(c.start, c.end)]
+    body = c.start + text[c.start : c.end].index("KEY")
+    return [m.span() for m in _KEY_BODY.finditer(text, text.index("-----", body) + 5, c.end)]
+
+
 def mask(text: str, spans: list[tuple[int, int]]) -> str:
     """The text with the spans starred, line breaks kept."""
     out, at = [], 0
@@ -387,9 +398,9 @@ def _mask_frames(model: Model, least: float):
         for f in frames:
             out, n = [], []
             for path, text in zip(f["path"], f["text"], strict=True):
-                spans = [(c.start, c.end) for c in candidates(text, path or "") if c.kind == "pem" or model.score(c, path or "") >= least] if text else []
-                out.append(mask(text, spans) if spans else text)
-                n.append(len(spans))
+                hits = [c for c in candidates(text, path or "") if c.kind == "pem" or model.score(c, path or "") >= least] if text else []
+                out.append(mask(text, [x for c in hits for x in hidden_spans(text, c)]) if hits else text)
+                n.append(len(hits))
             yield f[["record_table", "record_id"]].assign(text=out, masked=n)
 
     return frames_of
