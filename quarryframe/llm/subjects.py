@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that rules are mined from; a bound of the model, not of the documents scored.
 SAMPLE = 20_000
-#: Least sentences for a rule, least confidence beside the labels' own reliability, least lift of an informative item.
+#: Least sentences for a rule (or this many in a thousand documents of the sample), least confidence beside the labels' own reliability, least lift of an informative item.
 LEAST, SURE, LIFT = 3, 0.5, 2.5
 #: A text has at most so many subjects.
 MOST = 3
@@ -63,6 +63,13 @@ def items_of(words: list[str]) -> list[str]:
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]))
 
 
+def reduced(words: list[str], informative: set[str]) -> list[str]:
+    """The informative items of a sentence without words that an informative pair of it holds."""
+    got = [i for i in items_of(words) if i in informative]
+    inside = {w for i in got if " " in i for w in i.split(" ")}
+    return [i for i in got if " " in i or i not in inside]
+
+
 @dataclass
 class Model:
     """Rules by their rarest item; a wording's worth by its word pairs."""
@@ -154,7 +161,7 @@ def _frequent(transactions: DataFrame, least: int) -> list[tuple[frozenset[str],
     if not n:
         return []
     fp = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), numPartitions=max(8, transactions.rdd.getNumPartitions()))
-    sets = fp.fit(transactions.select("items")).freqItemsets.where("size(items) <= 4")
+    sets = fp.fit(transactions.select("items")).freqItemsets.where("size(items) <= 3")
     return [(frozenset(r["items"]), r["freq"]) for r in sets.collect()]
 
 
@@ -176,23 +183,26 @@ def _mine(told: DataFrame) -> Model:
     n_docs = told.select("doc_id").distinct().count()
     if not n_docs:
         return Model()
+    least = max(LEAST, n_docs // 1000)
     prior = {r["k"]: r["n"] / n_docs for r in told.select("doc_id", F.explode("labels").alias("k")).distinct().groupBy("k").agg(F.count("*").alias("n")).collect()}
-    seen = items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    seen = items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     with_class = items.select("item", F.explode("labels").alias("k")).groupBy("item", "k").agg(F.count("*").alias("m")).join(seen, "item")
     priors = F.create_map(*[F.lit(x) for kv in prior.items() for x in kv])
-    good = with_class.where((F.col("m") >= LEAST) & (F.col("m") / F.col("n") >= 0.3) & (F.col("m") / F.col("n") >= LIFT * priors[F.col("k")])).select("item").distinct()
-    informative = {r["item"] for r in good.collect()}
-    # sentences as transactions of informative items with one class each
-    keep = F.udf(lambda w: [i for i in items_of(w) if i in informative], "array<string>")
+    good = with_class.where((F.col("m") >= least) & (F.col("m") / F.col("n") >= 0.3) & (F.col("m") / F.col("n") >= LIFT * priors[F.col("k")])).select("item", "k", "n", "m")
+    singles = [(r["item"], r["k"], r["n"], r["m"]) for r in good.collect()]
+    informative = {r[0] for r in singles}
+    # sentences as transactions of informative items; a word inside an informative pair is told by the pair
+    keep = F.udf(lambda w: reduced(list(w), informative), "array<string>")
     sets = told.select("doc_id", "labels", keep("words").alias("found")).where("size(found) > 0")
     classed = sets.select(F.explode("labels").alias("k"), "found").select(F.concat("found", F.array(F.concat(F.lit("\x00"), F.col("k").cast("string")))).alias("items"))
-    with_k = _frequent(classed, LEAST)
-    without = dict(_frequent(sets.select(F.col("found").alias("items")), LEAST))
-    hit: dict[tuple[frozenset[str], int], float] = {}
-    counts: dict[tuple[frozenset[str], int], int] = {}
+    with_k = _frequent(classed, least)
+    without = dict(_frequent(sets.select(F.col("found").alias("items")), least))
+    # rules of one item are counted by documents, as they must hold for all of a text
+    hit = {(frozenset((i,)), k): (m + prior.get(k, 0.0)) / (n + 1.0) for i, k, n, m in singles}
+    counts = {(frozenset((i,)), k): n for i, k, n, m in singles}
     for s, freq in with_k:
         marks = [x for x in s if x[0] == "\x00"]
-        if len(marks) == 1 and len(s) > 1:
+        if len(marks) == 1 and len(s) > 2:
             need = frozenset(s - {marks[0]})
             k = int(marks[0][1:])
             n = max(without.get(need, freq), freq)
