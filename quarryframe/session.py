@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the session's Python workers, wherever they were started; once a session."""
+    sc = spark.sparkContext
+    name = f"quarryframe-{sc.applicationId}.zip"
+    if getattr(sc, "_quarryframe", None) == name:
+        return
+    base = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(SparkFiles.getRootDirectory(), "sent-" + name)  # the driver's own folder; Spark serves it from there
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, files in os.walk(base):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(base)))
+    sc.addPyFile(at)
+    sc._quarryframe = name
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for a shuffle that AQE must not coalesce away."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
