@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import queries_general
+from . import queries_core, queries_general
 
 
 def queries():
-    return dict(queries_general.QUERIES)
+    return queries_core.QUERIES | queries_general.QUERIES
 
 
 def oracle_sql():
-    return dict(queries_general.SQL)
+    return queries_core.SQL | queries_general.SQL
