@@ -278,14 +278,14 @@ def shortest_path_depth3(spark, d):
     return graph.shortest_paths(pick("kind = 'route' and repo_id = 'storefront-core'"), pick("kind = 'configuration_key'"), graph.edges(t.facts), 3)
 
 
-@query(W(_NODES, _FACTS, _PROOFS) + "select f.claim_id, s.label as subject, f.predicate, o.label as object, v.path, v.start_line from facts f join nodes s on s.entity_id = f.subject_id join nodes o on o.entity_id = f.object_id left join proofs v on v.evidence_id = f.evidence_id where s.kind = 'route' or o.kind = 'route'")
+@query(W(_NODES, _FACTS, _PROOFS) + "select f.claim_id, s.label as subject, f.predicate, o.label as object, coalesce(v.path, '') as path, coalesce(v.start_line, 0) start_line from facts f join nodes s on s.entity_id = f.subject_id join nodes o on o.entity_id = f.object_id left join proofs v on v.evidence_id = f.evidence_id where s.kind = 'route' or o.kind = 'route'")
 def explain_pair(spark, d):
     """GRP-09, GRP-11: claims of routes with both ends and their evidence."""
     t = Tables(spark, d)
     s = t.nodes.select(F.col("entity_id").alias("subject_id"), F.col("label").alias("subject"), F.col("kind").alias("sk"))
     o = t.nodes.select(F.col("entity_id").alias("object_id"), F.col("label").alias("object"), F.col("kind").alias("ok"))
     v = t.proofs.select("evidence_id", "path", "start_line")
-    return t.facts.join(s, "subject_id").join(o, "object_id").where("sk = 'route' or ok = 'route'").join(v, "evidence_id", "left").select("claim_id", "subject", "predicate", "object", "path", "start_line")
+    return t.facts.join(s, "subject_id").join(o, "object_id").where("sk = 'route' or ok = 'route'").join(v, "evidence_id", "left").select("claim_id", "subject", "predicate", "object", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("start_line", F.lit(0)).alias("start_line"))
 
 
 _SL = graph.SLICES["event_topic_flow"][0]
@@ -461,11 +461,11 @@ def debounce_sessions(spark, d):
     return history.debounced(table(spark, d, "events"), "user_id", "ts", 3600, 14400)
 
 
-@query("with a as (select event_id, event_id % 7 + 1 attempt from events) select event_id, attempt::int attempt, case when attempt < 5 then least(900, 30 * pow(2, attempt - 1)::int) end wait_s, attempt >= 5 exhausted from a")
+@query("with a as (select event_id, event_id % 7 + 1 attempt from events) select event_id, attempt::int attempt, case when attempt < 5 then least(900, 30 * pow(2, attempt - 1)::int) else -1 end wait_s, attempt >= 5 exhausted from a")
 def retry_backoff(spark, d):
     """STR-05: waits that double up to a cap, until attempts are used up."""
     rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 7 + 1).cast("int").alias("attempt"))
-    return history.backoff(rows, "attempt")
+    return history.backoff(rows, "attempt").withColumn("wait_s", F.coalesce("wait_s", F.lit(-1)))
 
 
 @query(f"with r as (select {_T % 'repository_id'} repo, revision_id generation_id, max(indexed_at) t from ir_source_revisions group by 1, 2) select repo, generation_id, row_number() over (partition by repo order by t desc, generation_id desc)::int as \"position\", row_number() over (partition by repo order by t desc, generation_id desc) <= 3 kept from r where repo <> ''")
