@@ -307,7 +307,7 @@ def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 # a key block is known by its head; what follows doesn't take part in the scores
                 rows.append((t, i, path, text.count("\n", 0, c.start) + 1, c.start, c.end, c.value if c.kind != "pem" else c.value[:27], c.name, c.kind, c.quoted, y))
         out = pd.DataFrame(rows, columns=["record_table", "record_id", "path", "line_no", "start", "stop", "value", "name", "kind", "quoted", "label"])
-        out["label"] = out["label"].astype("Int32")
+        out["label"] = pd.array(list(out["label"]), dtype="Int32")
         yield out
 
 

@@ -155,6 +155,11 @@ def prune(rules: dict[tuple[frozenset[str], int], float]) -> dict[tuple[frozense
     return out
 
 
+def enough(prior: float) -> float:
+    """Least confidence of a rule for a subject of a prior share: a lift, or two fifths of the way to certainty for a large share."""
+    return min(LIFT * prior, prior + 0.4 * (1 - prior))
+
+
 def _frequent(transactions: DataFrame, least: int) -> list[tuple[frozenset[str], int]]:
     """Frequent sets of at least so many transactions (column items), by parallel FP-growth; few, since items are informative."""
     n = transactions.count()
@@ -187,8 +192,9 @@ def _mine(told: DataFrame) -> Model:
     prior = {r["k"]: r["n"] / n_docs for r in told.select("doc_id", F.explode("labels").alias("k")).distinct().groupBy("k").agg(F.count("*").alias("n")).collect()}
     seen = items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     with_class = items.select("item", F.explode("labels").alias("k")).groupBy("item", "k").agg(F.count("*").alias("m")).join(seen, "item")
-    priors = F.create_map(*[F.lit(x) for kv in prior.items() for x in kv])
-    good = with_class.where((F.col("m") >= least) & (F.col("m") / F.col("n") >= 0.3) & (F.col("m") / F.col("n") >= LIFT * priors[F.col("k")])).select("item", "k", "n", "m")
+    needed = {k: enough(p) for k, p in prior.items()}
+    priors = F.create_map(*[F.lit(x) for kv in needed.items() for x in kv])
+    good = with_class.where((F.col("m") >= least) & (F.col("m") / F.col("n") >= 0.3) & (F.col("m") / F.col("n") >= priors[F.col("k")])).select("item", "k", "n", "m")
     singles = [(r["item"], r["k"], r["n"], r["m"]) for r in good.collect()]
     informative = {r[0] for r in singles}
     # sentences as transactions of informative items; a word inside an informative pair is told by the pair
@@ -212,7 +218,7 @@ def _mine(told: DataFrame) -> Model:
     # labels are partly wrong and incomplete: what the clearest rules reach counts as certain
     reach = sure[len(sure) // 4] if sure else 1.0
     scaled = {key: min(1.0, c / reach) for key, c in hit.items()}
-    kept = prune({key: c for key, c in scaled.items() if c >= SURE + 0.15 and c >= LIFT * prior.get(key[1], 0.0)})
+    kept = prune({key: c for key, c in scaled.items() if c >= SURE + 0.15 and c >= needed.get(key[1], 0.0)})
     weight = Counter(i for need, _ in kept for i in need)
     model = Model()
     rules: dict[str, list] = defaultdict(list)
