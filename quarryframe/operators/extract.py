@@ -75,3 +75,35 @@ def sql_tables(files: DataFrame) -> DataFrame:
     rows = lines(files).select("repo_id", "path", "line", F.explode(hit).alias("s"))
     access = F.when(F.lower("s").startswith("select"), "READS_TABLE").otherwise("WRITES_TABLE")
     return rows.select("repo_id", "path", "line", F.regexp_extract("s", r"([A-Za-z_][\w$.]*)$", 1).alias("sql_table"), access.alias("access"))
+
+
+# (languages, kind, pattern with the name as its group) (fixed values)
+DECLARATIONS: tuple[tuple[tuple[str, ...], str, str], ...] = (
+    (_JS + _JVM + ("python",), "class", r"^\s*(?:(?:export|default|public|private|protected|internal|abstract|final|sealed|open|data|static)\s+)*class\s+([A-Za-z_$][\w$]*)"),
+    (_JS + ("java",), "interface", r"^\s*(?:(?:export|public|private|protected)\s+)*interface\s+([A-Za-z_$][\w$]*)"),
+    (_JS, "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*[(<]"),
+    (("kotlin",), "function", r"^\s*(?:(?:public|private|protected|internal|suspend|inline|override|open|operator)\s+)*fun\s+(?:<[^>]*>\s*)?([A-Za-z_]\w*)\s*\("),
+    (("python",), "function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*[(\[]"),
+    (("java",), "method", r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], .?]+\s+([A-Za-z_]\w*)\s*\("),
+)
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, kind, name): declarations told by the heads of lines."""
+    def found(langs: tuple[str, ...], kind: str, pattern: str) -> Column:
+        name = F.when(F.col("language").isin(*langs), F.regexp_extract("text", pattern, 1)).otherwise("")
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+
+    rows = lines(files).select("repo_id", "path", "line", F.explode(F.array(*[found(*d) for d in DECLARATIONS])).alias("x"))
+    return rows.select("repo_id", "path", "line", "x.kind", "x.name").where("name <> ''")
+
+
+def nearest_declaration(rows: DataFrame, decls: DataFrame) -> DataFrame:
+    """Rows (repo_id, path, line) with the last declaration at or above their line, '<file>' if there is none: one sort per file, no pairs."""
+    from pyspark.sql import Window
+
+    a = rows.select("repo_id", "path", "line", F.lit(1).alias("is_row"), F.lit(None).cast("string").alias("name"))
+    b = decls.groupBy("repo_id", "path", "line").agg(F.min("name").alias("name")).select("repo_id", "path", "line", F.lit(0).alias("is_row"), "name")
+    w = Window.partitionBy("repo_id", "path").orderBy("line", "is_row").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("scope", F.last("name", ignorenulls=True).over(w))
+    return both.where("is_row = 1").select("repo_id", "path", "line", F.coalesce("scope", F.lit("<file>")).alias("scope"))

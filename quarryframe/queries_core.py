@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, labels
-from .operators import coverage, current, discover, evaluation, extract, graph, history, linking, retrieval
+from .operators import coverage, current, discover, evaluation, extract, graph, history, linking, materialize, retrieval
 from .session import WHITE_SPACE, table
 
 QUERIES = {}
@@ -669,3 +669,52 @@ def algebra_intersect(spark, d):
     n = Tables(spark, d).nodes
     a, b = n.where("repo_id = 'storefront-core'").select("kind").distinct(), n.where("repo_id <> 'storefront-core'").select("kind").distinct()
     return n.join(a.join(b, "kind", "left_semi"), "kind", "left_semi").groupBy("kind", "language").agg(F.count("*").alias("n"))
+
+
+def _declaration_sql() -> str:
+    return " union all ".join(f"select repo_id, path, line::int line, '{kind}' kind, regexp_extract(t, '{pattern}', 1) as \"name\" from l where lang in ({', '.join(repr(x) for x in langs)}) and regexp_extract(t, '{pattern}', 1) <> ''" for langs, kind, pattern in extract.DECLARATIONS)
+
+
+@query(W(_FILES, _LINES) + _declaration_sql())
+def declarations_extract(spark, d):
+    """EXT-01: declarations told by the heads of lines."""
+    return extract.declarations(Tables(spark, d).files)
+
+
+@query(W(_FILES, _LINES, f"decl as (select repo_id, path, line, min(\"name\") nm from ({_declaration_sql()}) group by all)", "hit as (select repo_id, path, line::int line from l where contains(t, 'throw '))") + "select h.repo_id, h.path, h.line, coalesce((select arg_max(nm, line) from decl x where x.repo_id = h.repo_id and x.path = h.path and x.line <= h.line), '<file>') scope from hit h")
+def nearest_symbol(spark, d):
+    """EXT-21: the declaration that each thrown error lies in."""
+    f = Tables(spark, d).files
+    rows = extract.lines(f).where(F.contains("text", F.lit("throw "))).select("repo_id", "path", "line")
+    return extract.nearest_declaration(rows, extract.declarations(f))
+
+
+@query(W(_FILES) + """select distinct 'e-' || sha256(generation_id || chr(0) || kind || chr(0) || identity || chr(0) || path || chr(0)) entity_id, kind, label, path from (
+select generation_id, 'file' kind, path as label, 'file:' || path identity, path from files
+union all select s.generation_id, 'symbol:' || s.kind, s.name, case when s.identity = '' then concat_ws(':', 'syntax', s.path, s.kind, s.name, s.start_byte::varchar) else s.identity end, s.path from symbols s where exists (select 1 from files f where f.generation_id = s.generation_id and f.path = s.path))""")
+def materialized_nodes(spark, d):
+    """IR-01: nodes of files and symbols with their digests."""
+    t = Tables(spark, d)
+    return materialize.nodes(t.files, t.symbols)
+
+
+@query(W(_FILES) + "select path, count(*)::bigint symbols from symbols s where not exists (select 1 from files f where f.generation_id = s.generation_id and f.path = s.path) group by 1")
+def source_not_indexed(spark, d):
+    """EXT-23: symbols of paths without a file."""
+    t = Tables(spark, d)
+    return materialize.not_indexed(t.symbols, t.files)
+
+
+_CODES = ("TS1005", "TS1109", "TS1128", "TS1185", "SyntaxError", "IndentationError", "parse_error", "source_not_indexed")
+
+
+@query(f"select case when code in ({', '.join(repr(c) for c in _CODES)}) then code else 'other' end code, case when path <> '' then 'h_' || substr(sha256(path), 1, 24) else '' end path_hash, count(*)::bigint as \"events\" from compiler_diagnostics group by 1, 2")
+def diagnostics_sanitized(spark, d):
+    """IR-27: diagnostics without names."""
+    return materialize.sanitized(table(spark, d, "compiler_diagnostics"), _CODES)
+
+
+@query(W(_FILES) + "select source_id as \"key\" from (select source_id, row_number() over (order by ingested_at desc, source_id desc) n, sum(\"size\") over (order by ingested_at desc, source_id desc rows unbounded preceding) s from files) where n > 400 or s > 900000")
+def cache_victims(spark, d):
+    """SRT-17: what a bounded cache of files would drop, oldest first."""
+    return materialize.evicted(Tables(spark, d).files, "source_id", "ingested_at", "size", 400, 900_000)
