@@ -43,5 +43,5 @@ def test_same_as_sql(spark, db, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns
+    assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
