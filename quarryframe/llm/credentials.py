@@ -5,7 +5,8 @@ strings, private key blocks, values assigned to names that speak of secrets (in
 calls. Pattern matches label some of them weakly. Character Markov models of labelled secrets and of labelled other values are
 counted over all data (a table of fixed size); a logistic regression on their likelihood ratio, the words of the name, the shape
 of the value and the path is fitted on a bounded sample (``SAMPLE`` rows, the smallest hashes) and calibrated on another;
-candidates with a calibrated probability of at least ``CUT`` are credentials, and are masked by stars of equal length.
+candidates with a calibrated probability of at least ``CUT`` that an exact check doesn't exclude are credentials, and are masked
+by stars of equal length.
 
 Defined results: null and empty texts have none and come back as they are; repeated rows of a record count once; a credential
 over several lines is one, at its first line, and keeps its line breaks when masked; quotes, prefixes and user names stay;
@@ -196,13 +197,19 @@ def name_strength(name: str) -> tuple[float, float, float]:
     # only words behind the secret word say that the value is something about it
     first = next((i for i, x in enumerate(w) if x in _STRONG or x in ("token", "key", "auth")), 0)
     about = [x for x in w[first:] if x in about]
-    return (1.0 if strong else 0.5 if medium else 0.0, float(bool(about)), float(any(x in _HASHES for x in w)))
+    hashed = any(x in _HASHES for x in w)
+    return (1.0 if strong else 0.5 if medium and not hashed else 0.0, float(bool(about)), float(hashed))
 
 
 def plain(c: Candidate) -> bool:
     """Whether the value is plainly no credential: a reference, mask, placeholder, sentence, path or words."""
     v = c.value
-    return bool(_REFERENCE.search(v) or _DUMMY.search(v) or len(set(v)) <= 2 or _UUID.match(v) or _PREFIXED_HASH.match(v) or " " in v or v.startswith(("/", "./", "http://", "https://")) or v.startswith("ssh-"))
+    return bool(_REFERENCE.search(v) or _DUMMY.search(v) or len(set(v)) <= 2 or _UUID.match(v) or _PREFIXED_HASH.match(v) or " " in v or (c.kind in ("named", "call") and v.startswith(("/", "./", "http://", "https://"))) or v.startswith("ssh-"))
+
+
+def excluded(c: Candidate) -> bool:
+    """The exact check after the score: what is plainly none, plain lower-case words and numbers, and digests under a digest's name."""
+    return c.kind != "pem" and (plain(c) or (c.kind in ("named", "call") and bool(_LOWER_WORDS.match(c.value))) or (c.kind == "named" and bool(_HEX.match(c.value)) and name_strength(c.name)[2] > 0 and name_strength(c.name)[0] < 1))
 
 
 def weak_label(c: Candidate) -> int | None:
@@ -246,7 +253,7 @@ def features(c: Candidate, ratio: float, path: str) -> list[float]:
     low = (path or "").lower()
     return [
         1.0, ratio, min(n, 40) / 20, _entropy(v[:64]) / 4, float(lo), float(up), float(di), float(sy), mixed, float(bool(_HEX.match(v))), float(bool(_WORDS.match(v))), float(bool(_LOWER_WORDS.match(v))), strong * float(bool(_LOWER_WORDS.match(v))), strong * float(di and lo + up > 0 and len(v) >= 6), float(plain(c)), strong, about, hashed, strong * mixed, strong * float(bool(_HEX.match(v))),
-        float(c.kind == "issued"), float(c.kind == "url"), float(c.kind in ("basic", "header")), float(c.kind == "conn"), float(c.kind == "pem"), float(c.kind == "call"), float(c.quoted), float(low.endswith(_CODE)), float(bool(re.search(r"(?:^|/)(?:test|tests|fixtures?|examples?|samples?|mocks?)/", low))), float(low.endswith((".yml", ".yaml", ".json", ".properties", ".env", ".ini", ".toml"))), float(low.endswith((".md", ".rst", ".txt"))), float(_basic_ok(v)) if c.kind == "basic" else 0.0,
+        float(c.kind == "issued"), float(c.kind == "url"), float(c.kind in ("basic", "header")), float(c.kind == "conn"), float(c.kind == "pem"), float(c.kind == "call"), float(c.quoted), strong * float(not c.quoted), float(low.endswith(_CODE)), float(bool(re.search(r"(?:^|/)(?:test|tests|fixtures?|examples?|samples?|mocks?)/", low))), float(low.endswith((".yml", ".yaml", ".json", ".properties", ".env", ".ini", ".toml"))), float(low.endswith((".md", ".rst", ".txt"))), float(_basic_ok(v)) if c.kind == "basic" else 0.0,
     ]
 
 
@@ -265,10 +272,10 @@ class Model:
     def ratio(self, v: str) -> float:
         k = _codes(v)
         d = self.logs[1] - self.logs[0]
-        return float(np.clip(sum(d[a, b] for a, b in zip(k, k[1:])) / max(1, len(k) - 1), -4, 4))
+        return float(np.clip(sum(d[a, b] for a, b in zip(k, k[1:])) / max(1, len(k) - 1), -1.5, 1.5))
 
     def score(self, c: Candidate, path: str) -> float:
-        if self.weights is None:
+        if self.weights is None or excluded(c):
             return 0.0
         z = float(np.dot(self.weights, features(c, self.ratio(c.value), path))) * self.scale + self.shift
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
