@@ -30,8 +30,8 @@ from ..session import cut
 
 #: Labelled candidates for fitting, and as many for calibration; a bound of the model, not of the data searched.
 SAMPLE = 20_000
-#: Least calibrated probability of a credential.
-CUT = 0.5
+#: Least calibrated probability of a credential; under one half, since a missed credential costs more than a masked word.
+CUT = 0.3
 
 # Shapes of issuers' tokens and of places for passwords (fixed values), each with the strings of which a text must hold one.
 _SHAPES: list[tuple[str, tuple[str, ...], re.Pattern[str]]] = [
