@@ -1,6 +1,6 @@
 """Generated, minified, vendored and blob files, by belief propagation over directory trees.
 
-Each file gives evidence from its text and name (markers of generators and licences in its head, lock files, dense long lines,
+Each file gives evidence from its text and name (markers of generators and licences in the comments before its first code, lock files, dense long lines,
 rows of literals) and each directory from its name; copies of one text share the strongest evidence that it is third-party
 code. Messages then run up the tree of a repository from files to directories, level by level, and down again: a directory
 takes after its children and its parent, a file after its directory. What a directory hears from its children counts as that of
@@ -54,13 +54,22 @@ _VERSIONED = re.compile(r"^@?[a-z][\w.-]*(?:@|-v?)\d+\.\d+(?:\.\d+)?[\w.-]*$", r
 
 
 def head_comments(text: str) -> str:
-    """The comment lines at the head of a text, up to code that isn't a package or import line."""
-    out, inside = [], False
-    for line in text[:4000].split("\n")[:25]:
+    """The comments at the head of a text, however long, up to code that isn't a package or import line."""
+    out, close = [], ""
+    for line in text.split("\n"):
         s = line.strip()
-        if inside or _COMMENT.match(line):
+        while close or s.startswith(("/*", "<!--")):
+            start = 0 if close else 2 if s.startswith("/*") else 4
+            close = close or ("*/" if start == 2 else "-->")
+            end = s.find(close, start)
+            if end < 0:
+                out.append(s)
+                s = ""
+                break
+            out.append(s[: end + len(close)])
+            s, close = s[end + len(close) :].strip(), ""
+        if _COMMENT.match(s):
             out.append(s)
-            inside = ("/*" in s or inside) and "*/" not in s
         elif s and not re.match(r"(?:package|import|from|using|use|require|'use strict'|\"use strict\")\b", s):
             break
     return "\n".join(out)

@@ -199,6 +199,17 @@ def test_origins(spark):
     assert origins.not_handwritten(sources(spark, [])).count() == 0
 
 
+def test_origins_after_a_long_head():
+    licence = "\n".join(f" * Clause {k} of the terms under which this company keeps and moves its own work, in full." for k in range(60))
+    code = "\nexport const s = 'Code generated by x. DO NOT EDIT.'\n"
+    for mark, label in (("Code generated by tool v1. DO NOT EDIT.", 1), ("SPDX-License-Identifier: MIT", 3)):
+        for head in (f"/*\n{licence}\n * {mark}\n */", f"/*\n{licence}\n */\npackage a;\n// {mark}", f"// {'long ' * 900}\n// {mark}", f"<!--\n{licence}\n{mark}\n-->"):
+            assert origins.evidence("src/a/x.ts", head + code)[label] > 5, head[-60:]
+    # what follows the head is no evidence, be it in its last line or behind a glob that looks like an opened comment
+    for head in (f"/*\n{licence}\n */ ", "/* own */ ", "# all of src/*\n", "// all of src/*\n"):
+        assert max(origins.evidence("src/a/x.ts", head + code.strip() + code)) < 5
+
+
 # p7 -------------------------------------------------------------------------------------------------------------------------
 SECRETS = """password = 'qrs4K7!3zi57M'
 password = '${DB_PASSWORD}'
