@@ -72,8 +72,8 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(text: str, hasher: _Hasher, k: int = K, span: int = MIN_SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchor blocks; of equal hashes in a window the first position wins."""
+def anchors(text: str, hasher: _Hasher, k: int = K, span: int = MIN_SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last positions and hashes of the anchor blocks; of equal hashes in a window the first position wins."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     w, part = span - k + 1, 1 << 20
     found, hashes = [], []
@@ -88,26 +88,26 @@ def anchors(text: str, hasher: _Hasher, k: int = K, span: int = MIN_SPAN) -> tup
     if len(found) > 1:
         pos, first = np.unique(pos, return_index=True)
         h = h[first]
-    # in periodic text the same block follows itself closely: the first and last of such a chain fix all alignments
+    # in periodic text the same block follows itself closely; such a chain is one row, and _periodic aligns it in every way
     order = np.lexsort((pos, h))
     p, g = pos[order], h[order]
-    close = np.zeros(len(p) + 1, dtype=bool)
-    close[1:-1] = (g[1:] == g[:-1]) & (p[1:] - p[:-1] <= k // 2)
-    keep = order[~(close[:-1] & close[1:])]
-    return pos[keep], h[keep]
+    starts = np.ones(len(p) + 1, dtype=bool)
+    starts[1:-1] = (g[1:] != g[:-1]) | (p[1:] - p[:-1] > k // 2)
+    return p[starts[:-1]], p[starts[1:]], g[starts[:-1]]
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = _Hasher()
     for b in batches:
-        keys, pos, hashes = [], [], []
+        keys, pos, last, hashes = [], [], [], []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            p, h = anchors(text, hasher)
+            p, q, h = anchors(text, hasher)
             keys.extend([key] * len(p))
             pos.append(p)
+            last.append(q)
             hashes.append(h)
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(pos).astype(np.int32))], ["h", "c", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(keys, pa.binary()), *[pa.array(np.concatenate(x).astype(np.int32)) for x in (pos, last)]], ["h", "c", "p", "q"])
 
 
 def _same(a: str, b: str, i: int, j: int) -> int:
@@ -140,17 +140,48 @@ def _same_back(a: str, b: str, i: int, j: int) -> int:
     return done
 
 
+def _period(block: str) -> int:
+    """The least period of a block up to half its length; 0 if there is none."""
+    return next((d for d in range(1, len(block) // 2 + 1) if block[d:] == block[:-d]), 0)
+
+
+def _periodic(a: str, b: str, i: int, j: int, d: int) -> Iterator[tuple[int, int, int]]:
+    """(a_start, b_start, length): runs that cover all that the regions of period d around the equal blocks a[i:] and b[j:] share.
+
+    Shifts that differ by whole periods agree as well. At a shift that aligns neither the starts nor the ends of the regions the
+    run is exactly their overlap, so the shifts of sufficient overlap are one range, of which steps of at most MIN_SPAN cover
+    everything; where starts or ends meet, the run may go on beyond the regions and is extended.
+    """
+    a0, a1 = i - _same_back(a, a, i, i + d), i + d + _same(a, a, i, i + d)
+    b0, b1 = j - _same_back(b, b, j, j + d), j + d + _same(b, b, j, j + d)
+    lo, hi = a0 + MIN_SPAN - b1, a1 - b0 - MIN_SPAN
+    lo, hi = lo + (i - j - lo) % d, hi - (hi - i + j) % d
+    if lo <= hi and min(a1 - a0, b1 - b0) >= MIN_SPAN:
+        for s in (*range(lo, hi, MIN_SPAN // d * d), hi):
+            at = max(a0, b0 + s)
+            yield at, at - s, min(a1, b1 + s) - at
+    for s in {a0 - b0, a1 - b1}:
+        if (s - i + j) % d == 0:
+            at = max(a0, b0 + s)
+            back = _same_back(a, b, at, at - s)
+            if (length := back + _same(a, b, at, at - s)) >= MIN_SPAN:
+                yield at - back, at - s - back, length
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Factors of text a relative to the blocks of text b along one alignment."""
     for b in batches:
         rows: list[tuple] = []
         for ca, cb, shift, at, ta, tb in zip(*(c.to_pylist() for c in b.columns), strict=True):
             end = -1
-            for p in sorted(at):
-                if p < end:  # inside the last factor
+            for p, chain in sorted((x["p"], x["chain"]) for x in at):
+                if p < end and not chain:  # inside the last factor
                     continue
                 if ta[p : p + K] != tb[p - shift : p - shift + K]:
                     continue
+                if chain and (d := _period(ta[p : p + K])):
+                    rows.extend((ca, cb, *x) for x in _periodic(ta, tb, p, p - shift, d))
+                    continue
                 back = _same_back(ta, tb, p, p - shift)
                 on = _same(ta, tb, p, p - shift)
                 end = p + on
@@ -172,25 +203,30 @@ def _contents(sources: DataFrame) -> DataFrame:
 
 
 def shared_spans(sources: DataFrame) -> DataFrame:
-    """(a, b, a_start, b_start, length): maximal runs shared by two content classes, a < b."""
+    """(a, b, a_start, b_start, length): maximal runs shared by two content classes, a < b; of periodic text, as many as cover all that is shared."""
     texts = _contents(sources)
-    blocks = texts.mapInArrow(_index, "h long, c binary, p int").distinct()
+    blocks = texts.mapInArrow(_index, "h long, c binary, p int, q int").distinct()
     by_hash = blocks.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "n")
     shared = blocks.join(by_hash, "h")
-    some, hot = shared.where(F.col("n") <= HOT_BLOCK).select("h", "c", "p"), shared.where(F.col("n") > HOT_BLOCK).select("c", "p")
+    some, hot = shared.where(F.col("n") <= HOT_BLOCK).select("h", "c", "p", (F.col("q") > F.col("p")).alias("chain")), shared.where(F.col("n") > HOT_BLOCK).select("c", "p", "q")
     one_text = texts.groupBy("c").agg(F.first("content").alias("content"))
     some = some.unionByName(_runs(hot, one_text))
-    a, b = some.select("h", F.col("c").alias("a"), F.col("p").alias("ap")), some.select("h", F.col("c").alias("b"), F.col("p").alias("bp"))
-    meet = a.join(b, "h").where("a < b").groupBy("a", "b", (F.col("ap") - F.col("bp")).alias("shift")).agg(F.collect_set("ap").alias("at"))
+    a, b = some.select("h", F.col("c").alias("a"), F.col("p").alias("ap"), F.col("chain").alias("ac")), some.select("h", F.col("c").alias("b"), F.col("p").alias("bp"), F.col("chain").alias("bc"))
+    meet = a.join(b, "h").where("a < b").groupBy("a", "b", (F.col("ap") - F.col("bp")).alias("shift")).agg(F.collect_set(F.struct(F.col("ap").alias("p"), (F.col("ac") | F.col("bc")).alias("chain"))).alias("at"))
     meet = meet.join(one_text.select(F.col("c").alias("a"), F.col("content").alias("ta")), "a").join(one_text.select(F.col("c").alias("b"), F.col("content").alias("tb")), "b")
     return meet.select("a", "b", "shift", "at", "ta", "tb").mapInArrow(_parse, "a binary, b binary, a_start int, b_start int, length int")
 
 
 def _runs(hot: DataFrame, one_text: DataFrame) -> DataFrame:
-    """(h, c, p): every run of MIN_SPAN characters around the given blocks, by the hash of the run; only runs in two classes stay."""
-    at = F.sequence(F.greatest(F.lit(0), F.col("p") - (MIN_SPAN - K)), F.least(F.col("p"), F.length("content") - MIN_SPAN))
-    rows = hot.join(one_text, "c").select("c", F.explode(F.transform(at, lambda s: F.struct(s.alias("p"), F.xxhash64(F.substring(F.col("content"), s + 1, F.lit(MIN_SPAN))).alias("h")))).alias("x"))
-    rows = rows.select(F.col("x.h").alias("h"), "c", F.col("x.p").cast("int").alias("p")).distinct()
+    """(h, c, p, chain): every run of MIN_SPAN characters around the given blocks, by the hash of the run; only runs in two classes stay.
+    Of a chain, all phases are among the runs around its first block, and what follows it is around its last; equal runs of it count once."""
+    around = lambda lo, hi: F.filter(F.sequence(lo - (MIN_SPAN - K), hi), lambda s: (s >= 0) & (s <= F.length("content") - MIN_SPAN))
+    chain = F.col("q") > F.col("p")
+    at = F.when(chain, F.array_union(around(F.col("p"), F.col("p") + K // 2), around(F.col("q"), F.col("q")))).otherwise(around(F.col("p"), F.col("p")))
+    run = lambda s: F.struct(s.alias("p"), F.xxhash64(F.substring(F.col("content"), s + 1, F.lit(MIN_SPAN))).alias("h"))
+    rows = hot.join(one_text, "c").select("c", chain.alias("chain"), F.col("p").alias("first"), F.explode(F.transform(at, run)).alias("x"))
+    rows = rows.select(F.col("x.h").alias("h"), "c", F.col("x.p").alias("p"), "chain", F.when(F.col("chain"), F.col("first")).otherwise(F.col("x.p")).alias("first"))
+    rows = rows.groupBy("h", "c", "chain", "first").agg(F.min("p").cast("int").alias("p")).drop("first")
     twice = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
     return rows.join(twice, "h")
 

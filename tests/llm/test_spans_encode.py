@@ -55,6 +55,27 @@ def test_shares_and_redelivery(spark):
     assert spans.shared_pairs(sources(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [40, 1])
+def test_periodic_texts_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT_BLOCK", hot)
+    rng = random.Random(11)
+    row = words(rng, 70)
+    turn = lambda n, at: (row * 40)[at : at + n]
+    rows = [("a", "x" + "=" * 1000 + "y"), ("b", "u" + "=" * 350 + "v"), ("c", "0, 0, 0, " * 150), ("d", "k" + "0, 0, 0, " * 36), ("e", turn(1500, 0)), ("f", "<" + turn(310, 60) + ">"), ("g", "ab" * 90 + words(rng, 200)), ("h", "=" * 290)]
+    tail = words(rng, 160)
+    rows += [("i", "=" * 900 + tail), ("j", "=" * 200 + tail), ("k", "(" + turn(900, 13) + tail + ")"), ("l", "[" + turn(640, 40) + tail)]
+    for k in range(12):
+        unit = rng.choice([row, "ab", "-+-", words(random.Random(5), 40)])
+        rows.append((f"r{k:02}", words(rng, rng.randrange(0, 90)) + (unit * 300)[rng.randrange(0, 70) :][: rng.randrange(250, 700)] + rng.choice([tail, words(rng, 50)])))
+    assert {(r[0], r[1]) for r in spans.shared_pairs(sources(spark, rows)).collect()} == brute(rows)
+    held = {}
+    for i, c in rows:
+        for p in range(len(c) - 299):
+            held.setdefault(c[p : p + 300], set()).add(i)
+    want = {i: len({q for p in range(len(c) - 299) if len(held[c[p : p + 300]]) > 1 for q in range(p, p + 300)}) for i, c in rows}
+    assert {r.source_id: r.shared_chars for r in spans.shared_shares(sources(spark, rows)).collect()} == want
+
+
 DOC = "doc_id long, text string, block long, word string"
 
 
