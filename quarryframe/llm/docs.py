@@ -183,18 +183,36 @@ def _head_end(text: str, at: int) -> int:
     return -1
 
 
-def documentation(lines: list[str], text: str, starts: list[int], start_line: int, name: str, python: bool) -> list[str]:
+def _declaration(lines: list[str], at: int, end_line: int, name: str, python: bool) -> int:
+    """The line that declares the symbol whose span begins at lines[at], which may be at what is written before the keyword. It is looked
+    for in the whole span, or in 40 lines of code if the span is shorter; comments and annotations of any length don't count."""
+    named = re.compile(rf"(?<![\w$]){re.escape(name)}(?![\w$])")
+    stop, inside, depth = max(end_line, at + 40), False, 0
+    for k in range(at, len(lines)):
+        if k >= stop:
+            break
+        s = lines[k].strip()
+        if inside or (not python and s.startswith("/*")):
+            inside = "*/" not in (s if inside else s[2:])
+            stop += 1
+        elif not s or s.startswith(("//", "*", "#")):
+            stop += 1
+        elif s.startswith("@") or depth > 0:
+            depth += s.count("(") - s.count(")")
+            stop += 1
+            if not s.startswith("@") and named.search(s):
+                return k
+        elif named.search(s):
+            return k
+    return at
+
+
+def documentation(lines: list[str], text: str, starts: list[int], start_line: int, name: str, python: bool, end_line: int = 0) -> list[str]:
     """The documentation lines of the function whose symbol begins at start_line, markers taken off; empty if there is none."""
     at = start_line - 1
     if not 0 <= at < len(lines):
         return []
-    named = re.compile(rf"(?<![\w$]){re.escape(name)}(?![\w$])")
-    decl = at
-    for k in range(at, min(at + 40, len(lines))):  # a span may begin at what is written before the keyword
-        s = lines[k].strip()
-        if named.search(lines[k]) and not s.startswith(("//", "*", "/*", "#", "@")):
-            decl = k
-            break
+    decl = _declaration(lines, at, end_line, name, python)
     found: list[str] = []
     k = decl - 1
     while k >= -1:
@@ -274,7 +292,7 @@ def _pair(with_code: bool):
                 python = path.lower().endswith((".py", ".pyi"))
                 classes = _classes(lines) if with_code else []
                 for s in symbols:
-                    own = documentation(lines, text, starts, s["start_line"], s["name"], python)
+                    own = documentation(lines, text, starts, s["start_line"], s["name"], python, s["end_line"] or 0)
                     doc = said(own, s["name"])
                     name, parents, code, inherits = None, [], None, False
                     if with_code:

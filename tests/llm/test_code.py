@@ -177,6 +177,15 @@ def test_documented_functions(spark):
     assert sorted(r.name for r in docs.documented(sources(spark, [("1", "x.py", PY)]), p).collect()) == ["one", "three"]
 
 
+def test_documentation_of_spans_with_a_long_beginning():
+    told = "\n".join(f" * Step {k} keeps the ledger of the day closed." for k in range(70))
+    for lang, text in ((False, f"/**\n{told}\n */\nvoid close() {{\n}}"), (False, "// It waits.\n" + "@Tag(\n" + "  1 +\n" * 60 + "  2)\nvoid close() {\n}"), (True, "@deco(\n" + "    1,\n" * 60 + ")\ndef close(self):\n    'It waits.'\n")):
+        lines = text.split("\n")
+        starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+        for end in (1, len(lines)):
+            assert docs.said(docs.documentation(lines, text, starts, 1 + lines[0].startswith("//"), "close", lang, end), "close")
+
+
 def test_inherited_documentation(spark):
     lines = JAVA.split("\n")
     k = [i + 1 for i, x in enumerate(lines) if "void syncLedger" in x]
