@@ -262,19 +262,52 @@ def _code(lines: list[str], start: int, end: int, python: bool) -> str:
 _CLASS = re.compile(r"^(\s*)(?:[\w@()]+\s+)*?(?:class|interface|object)\s+(\w+)([^{\n]*)")
 
 
+_PY_HEAD = re.compile(r"\s*\((.*)\)\s*:\s*(?:#.*)?$")
+_HEAD_GOES_ON = re.compile(r"\s*(?:extends\b|implements\b|:\s*[A-Z]|,)")
+
+
 def _classes(lines: list[str]) -> list[tuple[int, int, str, list[str]]]:
     """(line, indentation, name, parents) of the classes of a file, from their heads."""
     out = []
     for i, x in enumerate(lines):
         m = _CLASS.match(x)
         if m:
-            tail = re.sub(r"<[^<>]*>|\([^()]*\)(?=\s*(?::|extends|implements|\{|$))", "", m[3])
-            p = re.search(r"(?:extends|implements|:)\s*(.*)$|^\(([^)]*)\)", tail if "(" not in m[3] or ":" in tail or "extends" in tail else m[3])
-            names = re.findall(r"[A-Z]\w*", (p[1] or p[2] or "")) if p else []
+            head, k = m[3], i + 1
+            # a head may go on in the next lines
+            while k < len(lines) and "{" not in lines[k - 1] and (head.count("(") > head.count(")") or head.rstrip().endswith(",") or _HEAD_GOES_ON.match(lines[k])):
+                head += " " + lines[k].partition("{")[0].strip()
+                k += 1
+            py = _PY_HEAD.match(head)
+            if py:
+                bases = [x.strip() for x in re.sub(r"\[[^\[\]]*\]", "", py[1]).split(",")]
+                names = [x.rsplit(".", 1)[-1] for x in bases if re.fullmatch(r"[A-Za-z_][\w.]*", x)]
+            else:
+                tail = re.sub(r"<[^<>]*>|\([^()]*\)(?=\s*(?::|extends|implements|\{|$))", "", head)
+                p = re.search(r"(?:extends|implements|:)\s*(.*)$|^\(([^)]*)\)", tail if "(" not in head or ":" in tail or "extends" in tail else head)
+                names = re.findall(r"[A-Z]\w*", (p[1] or p[2] or "")) if p else []
             out.append((i, len(m[1].expandtabs(4)), m[2], names))
     return out
 
 
+_CODE_PATH = r"(?i)\.(?:java|kts?|pyi?|[cm]?[jt]s|[jt]sx)$"
+
+
+def _overrides(path: str, name: str, head: str) -> bool:
+    """Whether a method with this head can override one of a parent: not a constructor, and in Java and Kotlin neither private nor static."""
+    if path.lower().endswith((".py", ".pyi")):
+        return not (name.startswith("__") and not name.endswith("__"))
+    if name == "constructor" or name.startswith("#") or re.search(r"\bprivate\b", head):
+        return False
+    return not (path.lower().endswith((".java", ".kt", ".kts")) and re.search(r"\bstatic\b", head))
+
+
+def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each parent in each class head of a file, whatever symbols the file has."""
+    for f in frames:
+        rows = [(repo, name, above) for repo, content in zip(f["repo_id"], f["content"], strict=True) for _, _, name, parents in _classes(content.split("\n")) for above in parents]
+        yield pd.DataFrame(rows, columns=["repo_id", "class_name", "above"])
+
+
 _ROWS = "generation_id string, repo_id string, path string, name string, start_line int, kind string, class_name string, parents array<string>, doc string, inherits boolean, code string"
 
 
@@ -303,7 +336,8 @@ def _pair(with_code: bool):
                         inside = [c for c in classes if c[0] < at and c[1] < indent]
                         if inside:
                             name, parents = inside[-1][2], inside[-1][3]
-                        inherits = any(_INHERIT.search(x) for x in own) or any("@Override" in x for x in lines[max(0, at - 3) : at + 3]) or " override " in f" {lines[at]} "
+                        head = lines[_declaration(lines, at, s["end_line"] or 0, s["name"], python)]
+                        inherits = bool(parents) and _overrides(path, s["name"], head) or any(_INHERIT.search(x) for x in own) or any("@Override" in x for x in lines[max(0, at - 3) : at + 3]) or " override " in f" {lines[at]} "
                         code = _code(lines, s["start_line"], s["end_line"], python)
                         if doc:
                             doc = "\n".join(own).strip()
@@ -314,14 +348,19 @@ def _pair(with_code: bool):
     return pair
 
 
+def _last(sources: DataFrame) -> DataFrame:
+    """(generation_id, path, repo_id, content): the last text of each file."""
+    last = sources.where("length(content) > 0").groupBy("generation_id", "path").agg(F.max_by(F.struct("repo_id", "content"), "ingested_at").alias("v"))
+    return last.select("generation_id", "path", "v.*")
+
+
 def _read(sources: DataFrame, symbols: DataFrame, with_code: bool) -> DataFrame:
     wanted = symbols.where("kind in ('function', 'method') and name is not null and start_line is not null").select("generation_id", "path", "name", "start_line", "end_line", "kind")
     # the symbols of one file: bounded by its lines
     one = F.struct("name", "start_line", "kind", "end_line")
     wanted = wanted.groupBy("generation_id", "path", "name", "start_line", "kind").agg(F.max("end_line").alias("end_line"))
     wanted = wanted.groupBy("generation_id", "path").agg(F.collect_list(one).alias("symbols"))
-    last = sources.where("length(content) > 0").groupBy("generation_id", "path").agg(F.max_by(F.struct("repo_id", "content"), "ingested_at").alias("v")) if with_code else None
-    files = last.select("generation_id", "path", "v.*") if with_code else sources.where("length(content) > 0").select("generation_id", "path", "repo_id", "content")
+    files = _last(sources) if with_code else sources.where("length(content) > 0").select("generation_id", "path", "repo_id", "content")
     rows = files.join(wanted, ["generation_id", "path"]).select("generation_id", "repo_id", "path", "content", "symbols")
     return rows.mapInPandas(_pair(with_code), _ROWS)
 
@@ -333,13 +372,13 @@ def documented(sources: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def pairs(sources: DataFrame, symbols: DataFrame) -> DataFrame:
     """(generation_id, repo_id, path, name, start_line, kind, class_name, doc, inherited, code): code with its description; a method
-    that only refers to what it overrides takes the description of the nearest class above that has one."""
+    without one takes that of the method it overrides in the nearest class above that has one. Classes need no symbols to be links."""
     rows = cut(_read(sources, symbols, True))
     keep = ["generation_id", "repo_id", "path", "name", "start_line", "kind", "class_name", "doc", "inherited", "code"]
     have = rows.where("doc is not null").withColumn("inherited", F.lit(False))
     # a method and the class above it, one row per parent named in the class head
     open_ = rows.where("doc is null and inherits and class_name is not null").withColumn("parent", F.explode("parents")).select("generation_id", "repo_id", "path", "name", "start_line", "kind", "class_name", "code", "parent")
-    heads = rows.where("class_name is not null").select("repo_id", "class_name", F.explode("parents").alias("above")).distinct()
+    heads = cut(_last(sources).where(F.col("path").rlike(_CODE_PATH)).select("repo_id", "content").mapInPandas(_heads, "repo_id string, class_name string, above string").distinct())
     texts = have.where("class_name is not null").groupBy("repo_id", F.col("class_name").alias("parent"), "name").agg(F.min("doc").alias("doc"))
     out = have.select(*keep)
     seen = open_.select("repo_id", "class_name", "name", "parent").distinct()

@@ -196,6 +196,25 @@ def test_inherited_documentation(spark):
 
 
 # p2 -------------------------------------------------------------------------------------------------------------------------
+def test_inheritance_through_classes_without_symbols(spark):
+    files = {
+        "a.py": "class Top:\n    def close(self):\n        'Waits until the ledger is closed.'\n\n    def __init__(self):\n        pass\n",
+        "b.py": "class Middle(Top):\n    limit = 1\n",
+        "c.py": "class Low(Middle):\n    def close(self):\n        return 1\n\n    def other(self):\n        return 2\n",
+        "T.java": "class T {\n    /** Sends the ledger to the bank. */\n    void send() {\n    }\n    /** Counts the ledgers of a day. */\n    static void count() {\n    }\n}\n",
+        "M.java": "abstract class M\n    extends T {\n}\n",
+        "L.java": "class L extends M {\n    void send() {\n        go();\n    }\n    static void count() {\n    }\n}\n",
+        "x.md": "class Low(Wrong)\n",
+    }
+    at = [(path, n, next(i for i, x in enumerate(files[path].split("\n")) if f" {n}(" in x) + 1) for path, n in (("a.py", "close"), ("c.py", "close"), ("c.py", "other"), ("T.java", "send"), ("T.java", "count"), ("L.java", "send"), ("L.java", "count"))]
+    s = spark.createDataFrame([("g", p, n, "method", k, k) for p, n, k in at], "generation_id string, path string, name string, kind string, start_line int, end_line int")
+    got = {(r.path, r.name): (r.doc, r.inherited) for r in docs.pairs(sources(spark, [(p, p, c) for p, c in files.items()]), s).collect()}
+    assert got == {
+        ("a.py", "close"): ("Waits until the ledger is closed.", False), ("c.py", "close"): ("Waits until the ledger is closed.", True), ("T.java", "send"): ("Sends the ledger to the bank.", False),
+        ("T.java", "count"): ("Counts the ledgers of a day.", False), ("L.java", "send"): ("Sends the ledger to the bank.", True),
+    }
+
+
 def test_origins(spark):
     code = "\n".join(f"export const v{k} = store.get({k}); // keeps the value of {k}" for k in range(40))
     rows = [
