@@ -42,7 +42,7 @@ _SHAPES: list[tuple[str, tuple[str, ...], re.Pattern[str]]] = [
     ("issued", ("AKIA", "ASIA", "AROA", "AIDA", "AIza"), re.compile(r"(?<![\w-])(?:(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{12,}|AIza[\w-]{30,})(?![\w-])")),
     ("issued", ("sk-", "SG.", "shpat_", "shpss_", "hf_", "ya29."), re.compile(r"(?<![\w-])(?:sk-[\w-]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|shp(?:at|ss)_\w{20,}|hf_[A-Za-z]{20,}|ya29\.[\w-]{20,})")),
     ("pem", ("PRIVATE KEY",), re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")),
-    ("url", ("://",), re.compile(r"://[^\s:/@'\"<>`]{0,80}:([^\s@/'\"<>`]{1,160})@(?=[\w.\-\[$])")),
+    ("url", ("://",), re.compile(r"://[^\s:/@'\"<>`]*:([^\s@/'\"<>`]+)@(?=[\w.\-\[$])")),
     ("basic", ("Basic ", "basic "), re.compile(r"\b[Bb]asic +([A-Za-z0-9+/=]{8,})")),
     ("header", ("Bearer ", "bearer "), re.compile(r"\b[Bb]earer +([A-Za-z0-9+/=._~\-]{8,})")),
     ("conn", ("AccountKey=", "SharedAccessKey=", "SharedAccessSignature="), re.compile(r"\b(?:AccountKey|SharedAccessKey|SharedAccessSignature)=([^;\"'\s]{6,})")),
@@ -55,6 +55,7 @@ _SECRET = re.compile(r"passw|passphrase|passwd|pwd|pass(?![a-z])|passe(?![a-z])|
 _NAME_CHARS = re.compile(r"[\w.\-]*")
 _SEPARATOR = re.compile(r"""["']?\]?(?:\s*:\s*[A-Za-z][\w<>\[\]?]*(?=\s*=))?\s*(?::=|=>|[:=](?!=))\s*""")
 _QUOTED = re.compile(r"""[rRbBuUfF]{0,2}(?:"((?:[^"\\\n]|\\.)*)("?)|'((?:[^'\\\n]|\\.)*)('?)|`([^`\n]*)(`?))""")
+_COLON = re.compile(r"\s*:")
 _BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]\S*")
 _BARE_LOOSE = re.compile(r"\S+")
 _CODE = (".java", ".kt", ".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".c", ".cpp", ".cs", ".rb", ".php", ".swift")
@@ -144,13 +145,17 @@ def candidates(text: str, path: str) -> list[Candidate]:
         done = right
         name = text[left:right].strip("-.")
         sep = _SEPARATOR.match(text, right)
-        if not sep or "\n" in sep[0]:
+        if not sep:
             continue
         at = sep.end()
         q = _QUOTED.match(text, at)
         if q and (q[1] is not None or q[3] is not None or q[5] is not None):
             k = 1 if q[1] is not None else 3 if q[3] is not None else 5
             start, end, quoted = q.start(k), q.end(k), True
+            if "\n" in sep[0] and _COLON.match(text, q.end()):  # the first key of what follows
+                continue
+        elif "\n" in sep[0]:  # without quotes, the next line is a statement or key of its own
+            continue
         else:
             line = text[text.rfind("\n", 0, left) + 1 : left]
             comment = re.search(r"(?://|#|^\s*\*|/\*)", line)

@@ -276,6 +276,13 @@ def test_credentials_and_masking(spark):
     assert "password = '*************'" in t and "postgres://app:***********@db" in t and "MIIabcd" not in t and "-----END RSA" in t and out["source_files", "n"] is None and out["source_files", "e"] == ""
 
 
+def test_credentials_on_the_next_line_and_in_long_urls():
+    long, user = "qrs4K7!3zi57M" * 20, "deploy" * 20
+    for text, value in (('String apiToken =\n    "qrs4K7!3zi57M";', "qrs4K7!3zi57M"), ("password:\n  'qrs4K7!3zi57M'\n", "qrs4K7!3zi57M"), ('{"secret":\n  "qrs4K7!3zi57M"}', "qrs4K7!3zi57M"), (f"u = https://{user}:{long}@host.example/x", long), (f"u = https://a:{long}@host.example/x", long)):
+        assert value in [c.value for c in credentials.candidates(text, "a.java")], text
+    assert [c.value for c in credentials.candidates('secrets:\n  "name": 1\npassword:\n  user: x\n', "a.yml")] == []
+
+
 def test_credentials_of_empty_tables(spark):
     ev = spark.createDataFrame([], "evidence_id string, path string, excerpt string, ingested_at timestamp_ntz")
     assert credentials.credentials(sources(spark, []), ev).count() == 0
