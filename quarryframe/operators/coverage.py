@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from ..functions import labels
 
 
+def told() -> dict[str, Column]:
+    """What a row tells about its text: to be made before rows are reduced, so that texts aren't shuffled."""
+    return {"outcome": F.when(F.col("content").isNull(), "unreadable").when(F.contains("content", F.lit("\x00")), "unsupported").otherwise("included")}
+
+
 def entries(files: DataFrame) -> DataFrame:
-    """(repo_id, path, outcome, capability): what became of each file."""
+    """(repo_id, path, outcome, capability): what became of each file (with the columns of ``told``)."""
     lang = labels.language_of(F.col("path"))
-    outcome = F.when(F.col("content").isNull(), "unreadable").when(F.contains("content", F.lit("\x00")), "unsupported").otherwise("included")
-    return files.select("repo_id", "generation_id", "path", lang.alias("language"), outcome.alias("outcome"), F.when(lang.isin(*labels.STRUCTURAL), "lexical,structural").otherwise("lexical").alias("capability"))
+    return files.select("repo_id", "generation_id", "path", lang.alias("language"), "outcome", F.when(lang.isin(*labels.STRUCTURAL), "lexical,structural").otherwise("lexical").alias("capability"))
 
 
 def basis(files: DataFrame, diagnostics: DataFrame) -> DataFrame:

@@ -1,27 +1,40 @@
 """The state of redelivered tables: the last row of each record, deletions as told by any of its rows, and active generations.
 
-Nulls: rows whose key is null are dropped; a row without a time comes before rows with one.
+Each column is reduced on its own, to its value in the row with the latest time, so that Catalyst drops the columns that a query
+doesn't use from the shuffle and from the scan. Texts should be turned into what is asked of them before the reduction.
+Nulls: rows whose key is null are dropped; a row without a time comes before rows with one. Ties: of rows with the same latest
+time each column has its greatest value (repeated rows are one). Empty tables give none; further columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import id_key
 
 
+def _latest(c: str, time: str) -> Column:
+    return F.max(F.struct(F.col(time).alias("t"), F.col(c).alias("v"))).getField("v").alias(c)
+
+
 def last_rows(rows: DataFrame, key: str, time: str) -> DataFrame:
-    """One row a key: the one with the latest time (ties: the greatest other values). Combined before the shuffle."""
+    """One row a key: the one with the latest time. Combined before the shuffle."""
     others = [c for c in rows.columns if c not in (key, time)]
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(time, *others)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in (time, *others)])
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(time).alias(time), *[_latest(c, time) for c in others])
 
 
 def present(rows: DataFrame, key: str, time: str = "ingested_at", deleted: str = "deleted_at") -> DataFrame:
     """The last row of each record that none of its rows tells deleted."""
     others = [c for c in rows.columns if c not in (key, time, deleted)]
-    got = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(time, *others)).alias("_r"), F.max(deleted).alias("_d")).where("_d is null")
-    return got.select(key, *[F.col(f"_r.{c}").alias(c) for c in (time, *others)])
+    got = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(deleted).alias("_d"), F.max(time).alias(time), *[_latest(c, time) for c in others])
+    return got.where("_d is null").drop("_d")
+
+
+def only(rows: DataFrame, key: str, condition: Column) -> DataFrame:
+    """The rows of the records of which any row meets the condition: what a search has to reduce. The condition reaches the scan;
+    it must be asked again of the last rows."""
+    return rows.join(rows.where(condition).select(key).distinct(), key, "left_semi")
 
 
 def active_generations(revisions: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def _bad(s: Column) -> Column:
 def reason(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
     """Why a path is left out, '' if it isn't."""
     low = F.lower(path)
-    built = F.when(F.exists(F.array(*[F.lit(f"{d}/") for d in ("build", "dist", "target")]), lambda d: low.contains(d)), "generated").when(low.contains("vendor") | low.contains("node_modules"), "vendor").otherwise("built_in_policy")
+    built = F.when(F.exists(F.array(*[F.lit(f"{d}/") for d in ("build", "dist", "target")]), lambda d: low.contains(d)), "generated").when(low.contains("vendor/") | low.contains("node_modules/"), "vendor").otherwise("built_in_policy")
     out = F.when(blocked(path), built)
     for g in exclude:
         out = out.when(matches_glob(path, g), "catalog_pattern")
@@ -60,13 +60,18 @@ def reason(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...]
     return out.otherwise("")
 
 
+def told() -> dict[str, Column]:
+    """What a row tells about its text: to be made before rows are reduced, so that texts aren't shuffled."""
+    text = F.coalesce("content", F.lit(""))
+    return {"bytes": F.octet_length(text).cast("long"), "digest": F.sha2(text, 256), "unreadable": F.col("content").isNull(), "binary": F.contains(text, F.lit("\x00"))}
+
+
 def scan(files: DataFrame, max_bytes: int = 1 << 20, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(repo_id, path, language, classification, size, sha256, outcome, reason): one outcome row per file."""
-    size = F.octet_length(F.coalesce("content", F.lit(""))).cast("long")
+    """(repo_id, path, language, classification, size, sha256, outcome, reason): one outcome row per file (with the columns of ``told``)."""
     why = reason(F.col("path"), include, exclude)
-    why = F.when(why != "", why).when(F.col("content").isNull(), "unreadable").when(size > max_bytes, "file_too_large").when(F.contains("content", F.lit("\x00")), "binary").otherwise("")
+    why = F.when(why != "", why).when(F.col("unreadable"), "unreadable").when(F.col("bytes") > max_bytes, "file_too_large").when(F.col("binary"), "binary").otherwise("")
     outcome = F.when(why == "", "included").when(why == "unreadable", "unreadable").when(why == "binary", "unsupported").otherwise("excluded")
-    return files.where("path is not null").select("repo_id", "path", labels.language_of(F.col("path")).alias("language"), labels.classification_of(F.col("path")).alias("classification"), size.alias("size"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha256"), outcome.alias("outcome"), why.alias("reason"))
+    return files.where("path is not null").select("repo_id", "path", labels.language_of(F.col("path")).alias("language"), labels.classification_of(F.col("path")).alias("classification"), F.col("bytes").alias("size"), F.col("digest").alias("sha256"), outcome.alias("outcome"), why.alias("reason"))
 
 
 def affected_paths(changes: DataFrame, claims: DataFrame, entities: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ RULES: tuple[tuple[tuple[str, ...], str, int, str, float], ...] = (
     (_JVM, r"""@JmsListener\([^)]*"([^"]+)\"""", 1, "LISTENS_QUEUE", 0.95),
     (_JVM, r"""@KafkaListener\([^)]*"([^"]+)\"""", 1, "CONSUMES_TOPIC", 0.95),
     (_JVM, r"""@Table\([^)]*"([^"]+)\"""", 1, "MAPS_TABLE", 0.95),
-    (_JVM, r"(?:publishEvent|multicastEvent)\s*\(\s*(?:new\s+)?([A-Za-z_$][\w$.]*)", 1, "PUBLISHES_EVENT", 0.95),
+    (_JVM, r"(?:publishEvent|multicastEvent)\s*\(\s*new\s+([A-Za-z_$][\w$.]*)", 1, "PUBLISHES_EVENT", 0.95),
     (_JVM, r"""\bkafkaTemplate\.(?:send|convertAndSend)\(\s*"([^"]+)\"""", 1, "PRODUCES_TOPIC", 0.95),
     (_JVM, r"""\bjmsTemplate\.(?:send|convertAndSend)\(\s*"([^"]+)\"""", 1, "SENDS_QUEUE", 0.95),
     (_JVM, r"""\b(?:rest|web)(?:Template|Client)\.\w+\(\s*"([^"]+)\"""", 1, "INVOKES_API", 0.9),
@@ -54,9 +54,13 @@ def relationships(files: DataFrame) -> DataFrame:
     return lines(files).select("repo_id", "path", "line", F.explode(F.concat(*[found(*r) for r in RULES])).alias("x")).select("repo_id", "path", "line", "x.target", "x.predicate", "x.confidence").where("target <> ''")
 
 
+def is_configuration(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.(ya?ml|properties)$")
+
+
 def configuration_keys(files: DataFrame) -> DataFrame:
     """(repo_id, path, line, key): keys in front of the first ':' or '=' of configuration lines; comments are skipped."""
-    rows = lines(files.where(F.lower("path").rlike(r"\.(ya?ml|properties)$"))).withColumn("t", F.trim("text"))
+    rows = lines(files.where(is_configuration(F.col("path")))).withColumn("t", F.trim("text"))
     key = F.trim(F.regexp_extract("t", r"^([^:=#]+?)\s*[:=]", 1))
     return rows.where("t <> '' and t not like '#%'").select("repo_id", "path", "line", key.alias("key")).where("key <> ''")
 

@@ -6,6 +6,10 @@ by ids; empty tables give no rows; columns not named are never read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +25,27 @@ def with_confidence(entities: DataFrame, claims: DataFrame) -> DataFrame:
     return entities.join(c, F.lower("entity_id") == F.col("_e"), "left").withColumn("confidence", F.coalesce("_c", F.lit(1.0))).drop("_e", "_c")
 
 
+def named(query: str) -> Column:
+    """Whether label or path equals the query, without regard to case."""
+    return (F.lower("label") == query.lower()) | (F.lower("path") == query.lower())
+
+
+def holds(query: str) -> Column:
+    """Whether a file's content contains the query, without regard to case."""
+    return F.contains(F.lower("content"), F.lit(query.lower()))
+
+
 def exact(entities: DataFrame, claims: DataFrame, query: str) -> DataFrame:
     """Entities whose label or path equals the query, without regard to case; the filter runs before any join."""
     q = query.lower()
-    hit = entities.where((F.lower("label") == q) | (F.lower("path") == q)) if q else entities.limit(0)
+    hit = entities.where(named(q)) if q else entities.limit(0)
     hit = hit.withColumn("match_type", F.when(F.lower("label") == q, "exact_identifier").otherwise("exact_path"))
     return with_confidence(hit, claims).select("entity_id", "repo_id", "kind", "label", "path", "evidence_id", "match_type", "confidence")
 
 
-def literal(entities: DataFrame, files: DataFrame, query: str) -> DataFrame:
-    """Entities of the files whose content contains the query, without regard to case; files are filtered before the join."""
-    hit = files.where(F.contains(F.lower("content"), F.lit(query.lower()))).select("generation_id", "path").distinct()
+def literal(entities: DataFrame, hits: DataFrame) -> DataFrame:
+    """Entities of the given files (those that hold the query)."""
+    hit = hits.select("generation_id", "path").distinct()
     kind = F.when(F.col("kind").startswith("configuration"), "exact_protocol_config").otherwise("literal")
     return entities.join(hit, ["generation_id", "path"], "left_semi").select("entity_id", "repo_id", "kind", "label", "path", kind.alias("match_type"))
 
@@ -70,10 +84,10 @@ def undirected(claims: DataFrame) -> DataFrame:
     return claims.where("subject_id is not null and object_id is not null").select("claim_id", "predicate", F.explode(F.array(*ends)).alias("x")).select("x.src", "x.dst", "predicate", "claim_id")
 
 
-def search(entities: DataFrame, files: DataFrame, claims: DataFrame, query: str) -> DataFrame:
-    """Exact, literal and full-text matches of entities, one row per (entity, match) with its least score, in the search order as `rank`."""
+def search(entities: DataFrame, hits: DataFrame, claims: DataFrame, query: str) -> DataFrame:
+    """Exact, literal and full-text matches of entities, one row per (entity, match) with its least score; hits are the files that hold the query."""
     e = exact(entities, claims, query).select("entity_id", "match_type").withColumn("score", F.lit(0.0))
-    lit_ = literal(entities, files, query).select("entity_id", "match_type").withColumn("score", F.lit(0.0))
+    lit_ = literal(entities, hits).select("entity_id", "match_type").withColumn("score", F.lit(0.0))
     text = F.concat_ws(" ", "label", "kind", "path")
     lex = bm25(entities.select("entity_id", text.alias("text")), "entity_id", "text", " ".join(query.lower().split())).select("entity_id", F.lit("lexical").alias("match_type"), "score")
     best = e.unionByName(lit_).unionByName(lex).groupBy("entity_id", "match_type").agg(F.min("score").alias("score"))
@@ -112,15 +126,77 @@ def page(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFr
     return rows.orderBy(*order).offset(offset).limit(size)
 
 
-def top_cosine(vectors: DataFrame, key: str, vector: str, query_key: int, k: int) -> DataFrame:
-    """The k vectors nearest to one of the table's own, by cosine; vectors of another length score zero. One row is broadcast."""
-    unit = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    v = vectors.where(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"), unit.alias("n"))
-    q = F.broadcast(v.where(F.col(key) == query_key).limit(1).select(F.col("v").alias("q"), F.col("n").alias("qn")))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    ok = (F.size("v") == F.size("q")) & (F.col("n") > 0) & (F.col("qn") > 0)
-    scored = v.join(q).where(F.col(key) != query_key).select(key, F.round(F.when(ok, dot / (F.col("n") * F.col("qn"))).otherwise(0.0), 6).alias("cosine"))
-    return scored.orderBy(F.desc("cosine"), key).limit(k)
+#: Vectors in a block; blocks of queries meet blocks of vectors, and each meeting is one matrix product.
+BLOCK = 1024
+
+
+def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(n, keys, dims, data): vectors as blocks of rows of one matrix of doubles, padded with zeros to the longest."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in range(0, len(f), BLOCK):
+                part = f.iloc[i : i + BLOCK]
+                dims = np.array([len(v) for v in part["v"]], dtype=np.int32)
+                data = np.zeros((len(part), int(dims.max())), dtype=np.float64)
+                for r, v in enumerate(part["v"]):
+                    data[r, : len(v)] = v
+                yield pd.DataFrame({"keys": [part["k"].to_numpy(np.int64).tobytes()], "dims": [dims.tobytes()], "data": [data.tobytes()]})
+
+    v = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
+    return v.mapInPandas(pack, "keys binary, dims binary, data binary")
+
+
+def _nearest(k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, list[tuple[float, int]]] = {}
+
+        def matrix(f, i, p):
+            keys, dims = np.frombuffer(f[p + "keys"].iloc[i], np.int64), np.frombuffer(f[p + "dims"].iloc[i], np.int32)
+            data = np.frombuffer(f[p + "data"].iloc[i], np.float64).reshape(len(keys), -1)
+            norm = np.sqrt((data * data).sum(1))
+            return keys, dims, np.divide(data, norm[:, None], out=np.zeros_like(data), where=norm[:, None] > 0)
+
+        for f in frames:
+            for i in range(len(f)):
+                qk, qd, q = matrix(f, i, "q_")
+                vk, vd, v = matrix(f, i, "")
+                w = min(q.shape[1], v.shape[1])
+                cos = np.where(qd[:, None] == vd[None, :], q[:, :w] @ v[:, :w].T, 0.0).round(6) + 0.0
+                for r, key in enumerate(qk.tolist()):
+                    row = cos[r]
+                    own = vk != key
+                    if own.sum() > k:
+                        least = np.partition(row[own], -k)[-k]  # ties at the bound are all kept until they are ordered by key
+                        own &= row >= least
+                    got = best.setdefault(key, [])
+                    got.extend(zip((-row[own]).tolist(), vk[own].tolist(), strict=True))
+                    if len(got) > 4 * k:
+                        got.sort()
+                        del got[k:]
+        rows = [(q, v, -c) for q, got in best.items() for c, v in sorted(got)[:k]]
+        if rows:
+            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "cosine"])
+
+    return run
+
+
+def top_cosine(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query_id, vec_id, cosine, position): the k vectors nearest to each query, itself left out; ties by key.
+
+    Both sides are cut into blocks; a block of vectors is sent to every block of queries through a shuffle and multiplied there, each
+    task keeps k rows for a query, and these meet in a window. Nothing is broadcast. Null keys and null or empty vectors are left
+    out; null components count as zero; vectors of another length, and those of length zero, have the cosine zero.
+    """
+    q = _blocks(queries, key, vector).select(*[F.col(c).alias(f"q_{c}") for c in ("keys", "dims", "data")])
+    # the number of query blocks is known only at run time: every block of queries gets a number, vectors are copied to all of them
+    q = q.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("q_keys"), "q_keys")))
+    many = q.agg(F.coalesce(F.max("n"), F.lit(0)).alias("many"))
+    v = _blocks(vectors, key, vector).join(F.broadcast(many)).where("many > 0").select("keys", "dims", "data", F.explode(F.sequence(F.lit(1), F.col("many"))).alias("n"))
+    schema = "query_id long, vec_id long, cosine double"
+    part = v.join(q, "n").mapInPandas(_nearest(k), schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return part.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:

@@ -63,7 +63,8 @@ def answer(k: Knowledge, request: planner.Request, budget: planner.Budget | None
         found += add("structural", 3, retrieval.structural(entities, k.claims, r.text))
     rows = retrieval.fuse(_union(parts, conf))
     ranked = rows.orderBy("tier", F.desc("confidence"), "best_rank", "entity_id", "evidence_id").offset(offset).limit(b.results)
-    basis = coverage.basis(k.files.where(F.col("repo_id") == r.repository) if r.repository else k.files, k.diagnostics)
+    files = k.files.withColumns(coverage.told())
+    basis = coverage.basis(files.where(F.col("repo_id") == r.repository) if r.repository else files, k.diagnostics)
     complete = bool(basis.agg(F.coalesce(F.min("complete"), F.lit(False))).first()[0])
     state = "found" if found else "not_found" if complete else "unknown"
     return Answer(state, ranked, trace)

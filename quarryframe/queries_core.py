@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, labels
 from .operators import coverage, current, discover, evaluation, extract, graph, history, linking, materialize, retrieval
-from .session import WHITE_SPACE, table
+from .session import WHITE_SPACE, id_key, table
 
 QUERIES = {}
 SQL: dict[str, str] = {}
 # What the queries ask for; parameters, not bounds.
-LABEL, NEEDLE, PHRASE = "/V1/Bucket", "token", "bonded warehouse"
+LABEL, NEEDLE, PHRASE, PAGED = "/V1/Bucket", "token", "bonded warehouse", "Service"
 
 
 def query(sql: str | None = None):
@@ -25,6 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _tidy(claims: DataFrame) -> DataFrame:
+    return claims.withColumns({c: F.lower(F.btrim(c, F.lit(WHITE_SPACE))) for c in ("subject_id", "object_id")})
+
+
 class Tables:
     """Tables of a folder, and their current rows."""
 
@@ -40,7 +44,7 @@ class Tables:
 
     @property
     def facts(self) -> DataFrame:
-        return current.last_rows(self.claims, "claim_id", "ingested_at").withColumn("subject_id", F.lower(F.btrim("subject_id", F.lit(WHITE_SPACE)))).withColumn("object_id", F.lower(F.btrim("object_id", F.lit(WHITE_SPACE))))
+        return _tidy(current.last_rows(self.claims, "claim_id", "ingested_at"))
 
     @property
     def proofs(self) -> DataFrame:
@@ -50,6 +54,21 @@ class Tables:
     def files(self) -> DataFrame:
         return current.last_rows(self.source_files, "source_id", "ingested_at")
 
+    def nodes_where(self, condition: Column) -> DataFrame:
+        """Current entities that meet a condition; only records that met it in some delivery are reduced."""
+        return current.present(current.only(self.entities, "entity_id", condition), "entity_id").where(condition)
+
+    def facts_about(self, nodes: DataFrame) -> DataFrame:
+        """Current claims with one of the nodes (entity_id) at either end; only their records are reduced."""
+        ids_ = nodes.select(F.lower("entity_id").alias("e")).distinct()
+        ends = self.claims.select("claim_id", F.explode(F.array(id_key("subject_id"), id_key("object_id"))).alias("e"))
+        hit = ends.join(ids_, "e", "left_semi").select("claim_id").distinct()
+        return _tidy(current.last_rows(self.claims.join(hit, "claim_id", "left_semi"), "claim_id", "ingested_at"))
+
+    def files_with(self, **derived: Column) -> DataFrame:
+        """Current files with columns made from their rows before the reduction, so that content isn't shuffled for them."""
+        return current.last_rows(self.source_files.withColumns(derived), "source_id", "ingested_at")
+
     @property
     def active(self) -> DataFrame:
         return current.active_generations(self.ir_source_revisions)
@@ -69,21 +88,23 @@ def W(*parts: str) -> str:
     return "with recursive " + ", ".join(parts) + " "
 
 
-_EXACT = f"exact as (select n.entity_id, n.repo_id, n.kind, n.label, n.path, n.evidence_id, case when lower(label) = lower('{LABEL}') then 'exact_identifier' else 'exact_path' end match_type, coalesce(c.c, 1.0) confidence from nodes n left join conf c on c.id = lower(n.entity_id) where lower(label) = lower('{LABEL}') or lower(path) = lower('{LABEL}'))"
+_EXACT_OF = "exact as (select n.entity_id, n.repo_id, n.kind, n.label, n.path, n.evidence_id, case when lower(label) = lower('<text>') then 'exact_identifier' else 'exact_path' end match_type, coalesce(c.c, 1.0) confidence from nodes n left join conf c on c.id = lower(n.entity_id) where lower(label) = lower('<text>') or lower(path) = lower('<text>'))"
+_EXACT = _EXACT_OF.replace("<text>", LABEL)
 
 
 @query(W(_NODES, _FACTS, _CONF, _EXACT) + "select * from exact")
 def exact_lookup(spark, d):
     """RET-01, FLT-06: label or path, without regard to case, with confidence."""
     t = Tables(spark, d)
-    return retrieval.exact(t.nodes, t.facts, LABEL)
+    nodes = t.nodes_where(retrieval.named(LABEL))
+    return retrieval.exact(nodes, t.facts_about(nodes), LABEL)
 
 
 @query(W(_NODES, _FILES) + f"select entity_id, repo_id, kind, label, path, case when kind like 'configuration%' then 'exact_protocol_config' else 'literal' end match_type from nodes n where exists (select 1 from files f where f.generation_id = n.generation_id and f.path = n.path and contains(lower(f.content), '{NEEDLE}'))")
 def literal_contains(spark, d):
     """FLT-07: entities of files that contain a text."""
     t = Tables(spark, d)
-    return retrieval.literal(t.nodes, t.files, NEEDLE)
+    return retrieval.literal(t.nodes, t.files_with(hit=retrieval.holds(NEEDLE)).where("hit"))
 
 
 _BM = """
@@ -100,33 +121,47 @@ def lexical_phrase_bm25(spark, d):
     return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", PHRASE)
 
 
-_SEARCH = (
-    f"lit_ as (select entity_id, case when kind like 'configuration%' then 'exact_protocol_config' else 'literal' end match_type, 0.0 score from nodes n where exists (select 1 from files f where f.generation_id = n.generation_id and f.path = n.path and contains(lower(f.content), lower('{LABEL}')))), "
-    + _BM.format(key="entity_id", text="concat_ws(' ', label, kind, path)", src="nodes", needle="/v1/bucket", n=len(" /v1/bucket ")).strip()
+_SEARCH_OF = (
+    "lit_ as (select entity_id, case when kind like 'configuration%' then 'exact_protocol_config' else 'literal' end match_type, 0.0 score from nodes n where exists (select 1 from files f where f.generation_id = n.generation_id and f.path = n.path and contains(lower(f.content), lower('<text>')))), "
+    + _BM.format(key="entity_id", text="concat_ws(' ', label, kind, path)", src="nodes", needle="<words>", n="<n>").strip()
     + ", found as (select entity_id, match_type, min(score) score from (select entity_id, match_type, 0.0 score from exact union all select * from lit_ union all select id, 'lexical', score from bm) group by 1, 2), "
     "rows as (select f.entity_id, n.repo_id, n.label, n.path, coalesce(c.c, 1.0) confidence, match_type, score, case match_type when 'exact_symbol' then 0 when 'exact_identifier' then 1 when 'exact_path' then 2 when 'exact_protocol_config' then 3 when 'literal' then 4 when 'lexical' then 5 else 6 end class from found f join nodes n using (entity_id) left join conf c on c.id = lower(n.entity_id))"
 )
 
 
+def _search_sql(text: str) -> str:
+    words = "  ".join(text.lower().split())
+    return _SEARCH_OF.replace("<text>", text).replace("<words>", words).replace("<n>", str(len(words) + 2))
+
+
+_SEARCH = _search_sql(LABEL)
+
+
 @query(W(_NODES, _FACTS, _CONF, _FILES, _EXACT, _SEARCH) + "select entity_id, match_type, class, score, confidence from rows")
 def search_union_ranked(spark, d):
     """RET-02, SET-06: exact, literal and full-text branches, least score per entity and match."""
     t = Tables(spark, d)
-    return retrieval.search(t.nodes, t.files, t.facts, LABEL).select("entity_id", "match_type", "class", "score", "confidence")
+    return _search(t, LABEL).select("entity_id", "match_type", "class", "score", "confidence")
+
+
+def _search(t: Tables, text: str) -> DataFrame:
+    return retrieval.search(t.nodes, t.files_with(hit=retrieval.holds(text)).where("hit"), t.facts, text)
 
 
-@query(W(_NODES, _FACTS, _CONF, _FILES, _EXACT, _SEARCH) + "select entity_id, match_type, class from rows order by class, case when match_type = 'lexical' then score end asc nulls first, confidence desc, repo_id, path, entity_id limit 20 offset 5")
+@query(W(_NODES, _FACTS, _CONF, _FILES, _EXACT_OF.replace("<text>", PAGED), _search_sql(PAGED)) + "select entity_id, match_type, class from rows order by class, case when match_type = 'lexical' then score end asc nulls first, confidence desc, repo_id, path, entity_id limit 20 offset 5")
 def paginate_offset(spark, d):
     """SRT-01, SRT-10: one page of the search order."""
     t = Tables(spark, d)
-    return retrieval.page(retrieval.search(t.nodes, t.files, t.facts, LABEL), retrieval.search_order(), 5, 20).select("entity_id", "match_type", "class")
+    return retrieval.page(_search(t, PAGED), retrieval.search_order(), 5, 20).select("entity_id", "match_type", "class")
 
 
 @query(W(_NODES, _FACTS, _UND) + f"select distinct n.entity_id, n.repo_id, n.kind, n.label, n.path from nodes n join und on und.src = n.entity_id join nodes m on m.entity_id = und.dst where lower(m.label) = lower('{LABEL}')")
 def structural_exists(spark, d):
     """RET-05: entities with a claim whose other end has the label."""
     t = Tables(spark, d)
-    return retrieval.structural(t.nodes, t.facts, LABEL)
+    named = t.nodes_where(F.lower("label") == LABEL.lower())
+    near = graph.edges(t.facts_about(named)).join(named.select(F.col("entity_id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("entity_id")).distinct()
+    return current.present(t.entities.join(near, "entity_id", "left_semi"), "entity_id").select("entity_id", "repo_id", "kind", "label", "path")
 
 
 @query(W(_NODES, _FACTS, _CONF) + "select entity_id, coalesce(c.c, 1.0) confidence from nodes n left join conf c on c.id = lower(n.entity_id)")
@@ -162,13 +197,14 @@ def active_scan(spark, d):
     return t.active.join(per, "generation_id", "left").select("repo", "generation_id", F.coalesce("n", F.lit(0)).alias("entities"))
 
 
-_COS = "v as (select vec_id, embedding::double[] e from embeddings where embedding is not null), q as (select e from v where vec_id = 0)"
+_COS = "v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and vec_id is not null), q as (select vec_id query_id, e qe from v where vec_id % 50 = 0)"
 
 
-@query(f"with {_COS} select vec_id, round(case when len(v.e) = len(q.e) and list_dot_product(v.e, v.e) > 0 then list_cosine_similarity(v.e, q.e) else 0 end, 6) cosine from v, q where vec_id <> 0 order by cosine desc, vec_id limit 20")
+@query(f"with {_COS}, c as (select query_id, vec_id, round(case when len(e) = len(qe) and list_dot_product(e, e) > 0 and list_dot_product(qe, qe) > 0 then list_cosine_similarity(e, qe) else 0 end, 6) cosine from v, q where vec_id <> query_id) select * from (select *, row_number() over (partition by query_id order by cosine desc, vec_id)::int as \"position\" from c) where \"position\" <= 20")
 def vector_topk_cosine(spark, d):
-    """RET-08, RET-11, SRT-04: the 20 nearest vectors (a top-k report)."""
-    return retrieval.top_cosine(table(spark, d, "embeddings"), "vec_id", "embedding", 0, 20)
+    """RET-08, RET-11, SRT-04: the 20 nearest vectors (a top-k report) of every vector whose id is divisible by 50."""
+    v = table(spark, d, "embeddings")
+    return retrieval.top_cosine(v.where("vec_id % 50 = 0"), v, "vec_id", "embedding", 20)
 
 
 @query("""with w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_./:\\-]+')) w from documents),
@@ -220,14 +256,14 @@ def resolve_ambiguity(spark, d):
     return retrieval.ambiguous(Tables(spark, d).nodes)
 
 
-_BFS = "seeds as (select entity_id node from nodes where kind = 'route' and repo_id = 'storefront-core'), walk as (select node, 0 depth from seeds union select und.dst, depth + 1 from walk join und on und.src = walk.node where depth < {d})"
+_BFS = "seeds as (select entity_id node from nodes where kind = 'route'), walk as (select node, 0 depth from seeds union select und.dst, depth + 1 from walk join und on und.src = walk.node where depth < {d})"
 
 
 @query(W(_NODES, _FACTS, _UND, _BFS.format(d=3)) + "select node, min(depth) depth from walk group by node")
 def graph_bfs_depth3(spark, d):
-    """GRP-01, RET-06: what is reached from the routes of a repository within three claims."""
+    """GRP-01, RET-06: what is reached from the routes of all repositories within three claims."""
     t = Tables(spark, d)
-    seeds = t.nodes.where("kind = 'route' and repo_id = 'storefront-core'").select(F.col("entity_id").alias("node"))
+    seeds = t.nodes.where("kind = 'route'").select(F.col("entity_id").alias("node"))
     return graph.reach(seeds, graph.edges(t.facts), 3)
 
 
@@ -270,12 +306,12 @@ def events_by_label(spark, d):
     return t.facts.where(F.col("predicate").rlike("EVENT|TOPIC|QUEUE")).join(o, "object_id").groupBy("label", "predicate").agg(F.count("*").alias("claims"), F.countDistinct("repo_id").alias("repositories"))
 
 
-@query(W(_NODES, _FACTS, _UND, "s as (select entity_id node from nodes where kind = 'route' and repo_id = 'storefront-core'), g as (select entity_id node from nodes where kind = 'configuration_key'), walk as (select node as start, node, 0 hops from s union select walk.start, und.dst, hops + 1 from walk join und on und.src = walk.node where hops < 3)") + "select start, node as goal, min(hops) hops from walk where node in (select node from g) group by 1, 2 having min(hops) > 0")
+@query(W(_NODES, _FACTS, _UND, "s as (select entity_id node from nodes where kind = 'route'), g as (select entity_id node from nodes where kind = 'configuration_key'), walk as (select node as start, node, 0 hops from s union select walk.start, und.dst, hops + 1 from walk join und on und.src = walk.node where hops < 3)") + "select start, node as goal, min(hops) hops from walk where node in (select node from g) group by 1, 2 having min(hops) > 0")
 def shortest_path_depth3(spark, d):
     """GRP-08: shortest paths from routes to configuration keys within three claims."""
     t = Tables(spark, d)
     pick = lambda c: t.nodes.where(c).select(F.col("entity_id").alias("node"))
-    return graph.shortest_paths(pick("kind = 'route' and repo_id = 'storefront-core'"), pick("kind = 'configuration_key'"), graph.edges(t.facts), 3)
+    return graph.shortest_paths(pick("kind = 'route'"), pick("kind = 'configuration_key'"), graph.edges(t.facts), 3)
 
 
 @query(W(_NODES, _FACTS, _PROOFS) + "select f.claim_id, s.label as subject, f.predicate, o.label as object, coalesce(v.path, '') as path, coalesce(v.start_line, 0) start_line from facts f join nodes s on s.entity_id = f.subject_id join nodes o on o.entity_id = f.object_id left join proofs v on v.evidence_id = f.evidence_id where s.kind = 'route' or o.kind = 'route'")
@@ -367,7 +403,7 @@ _BASIS = f"e as (select repo_id, path, {_LANG} lang, case when content is null t
 def coverage_basis(spark, d):
     """COV-01 to COV-03: what is lacking for completeness, per repository."""
     t = Tables(spark, d)
-    return coverage.basis(t.files, t.compiler_diagnostics)
+    return coverage.basis(t.files_with(**coverage.told()), t.compiler_diagnostics)
 
 
 @query(W(_FILES, _BASIS, _NODES) + f"select b.repo_id, coalesce(h.hits, 0)::bigint hits, b.complete, case when coalesce(h.hits, 0) > 0 then 'found' when b.complete then 'not_found' else 'unknown' end state from basis b left join (select repo_id, count(*) hits from nodes where lower(label) = lower('{LABEL}') group by 1) h using (repo_id)")
@@ -375,7 +411,7 @@ def result_state(spark, d):
     """COV-04: found, not found or unknown in each repository."""
     t = Tables(spark, d)
     hits = t.nodes.where(F.lower("label") == LABEL.lower()).groupBy("repo_id").agg(F.count("*").alias("hits"))
-    rows = coverage.basis(t.files, t.compiler_diagnostics).join(hits, "repo_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    rows = coverage.basis(t.files_with(**coverage.told()), t.compiler_diagnostics).join(hits, "repo_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return rows.select("repo_id", "hits", "complete", coverage.state(F.col("hits"), F.col("complete")).alias("state"))
 
 
@@ -513,7 +549,8 @@ def source_lines_slice(spark, d):
 @query(W(_FILES) + "select source_id, path, length(content) - length(replace(content, chr(10), '')) + 1 as \"lines\" from files where content is not null")
 def line_count(spark, d):
     """PRJ-04: lines of each file."""
-    return Tables(spark, d).files.where("content is not null").select("source_id", "path", F.size(F.split("content", "\n")).cast("long").alias("lines"))
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
+    return Tables(spark, d).files_with(lines=lines.cast("long")).where("lines is not null").select("source_id", "path", "lines")
 
 
 _LINES = "l as (select repo_id, path, " + _LANG + " lang, unnest(string_split(content, chr(10))) t, generate_subscripts(string_split(content, chr(10)), 1) line from files where content is not null)"
@@ -522,17 +559,17 @@ _LINES = "l as (select repo_id, path, " + _LANG + " lang, unnest(string_split(co
 @query(W(_FILES, _LINES) + f"select repo_id, path, line::int line, t as \"text\" from l where contains(t, '{NEEDLE}')")
 def line_literal_baseline(spark, d):
     """RET-21, RET-22: lines that hold a text as written."""
-    return evaluation.line_baseline(Tables(spark, d).files, NEEDLE)
+    return evaluation.line_baseline(Tables(spark, d).files_with(content=F.when(F.contains("content", F.lit(NEEDLE)), F.col("content"))), NEEDLE)
 
 
 _BLOCK = f"list_bool_or(list_transform(string_split(lower(path), '/'), lambda s: s in ({', '.join(repr(x) for x in discover.BLOCKED_DIRS)}, '.env') or starts_with(s, '.env.') or " + " or ".join(f"contains(s, '{w}')" for w in discover.BLOCKED_WORDS) + "))"
-_REASON = f"case when {_BLOCK} then case when regexp_matches(lower(path), '(build|dist|target)/') then 'generated' when regexp_matches(lower(path), 'vendor|node_modules') then 'vendor' else 'built_in_policy' end when regexp_matches(path, '^docs/(?:[^/]+/)*[^/]+$') then 'catalog_pattern' when content is null then 'unreadable' when strlen(content) > 8000 then 'file_too_large' when contains(content, chr(0)) then 'binary' else '' end"
+_REASON = f"case when {_BLOCK} then case when regexp_matches(lower(path), '(build|dist|target)/') then 'generated' when regexp_matches(lower(path), '(vendor|node_modules)/') then 'vendor' else 'built_in_policy' end when regexp_matches(path, '^docs/(?:[^/]+/)*[^/]+$') then 'catalog_pattern' when content is null then 'unreadable' when strlen(content) > 8000 then 'file_too_large' when contains(content, chr(0)) then 'binary' else '' end"
 _SCAN = f"scan as (select repo_id, path, {_LANG} as \"language\", case when regexp_matches(lower(path), '\\.(md|adoc|txt|rst)$') then 'documentation' else 'source' end classification, strlen(coalesce(content, ''))::bigint as \"size\", sha256(coalesce(content, '')) sha256, {_REASON} reason from files)"
 _OUTCOME = "case when reason = '' then 'included' when reason = 'unreadable' then 'unreadable' when reason = 'binary' then 'unsupported' else 'excluded' end"
 
 
 def _scan(spark, d):
-    return discover.scan(Tables(spark, d).files, 8000, exclude=("docs/**",))
+    return discover.scan(Tables(spark, d).files_with(**discover.told()), 8000, exclude=("docs/**",))
 
 
 @query(W(_FILES, _SCAN) + f"select repo_id, path, \"language\", classification, \"size\", sha256, {_OUTCOME} outcome, reason from scan")
@@ -589,13 +626,13 @@ def rebuild_scope(spark, d):
 @query(W(_FILES, _LINES) + "select repo_id, path, line::int line, trim(regexp_extract(trim(t), '^([^:=#]+?)\\s*[:=]', 1)) as \"key\" from l where regexp_matches(lower(path), '\\.(ya?ml|properties)$') and trim(t) <> '' and not starts_with(trim(t), '#') and trim(regexp_extract(trim(t), '^([^:=#]+?)\\s*[:=]', 1)) <> ''")
 def config_lines_extract(spark, d):
     """EXT-17: keys that configuration files define."""
-    return extract.configuration_keys(Tables(spark, d).files)
+    return extract.configuration_keys(Tables(spark, d).files_with(content=F.when(extract.is_configuration(F.col("path")), F.col("content"))))
 
 
 @query(W(_FILES, "j as (select repo_id, path, content::json c from files where lower(path) like '%.json' and json_valid(content))") + "select distinct repo_id, path, unnest(coalesce(json_keys(c, '$.dependencies'), []) || coalesce(json_keys(c, '$.devDependencies'), []) || coalesce(json_keys(c, '$.packages'), [])) dependency from j")
 def manifest_json_extract(spark, d):
     """EXT-18: dependencies named in JSON manifests and lock files."""
-    return extract.manifest_dependencies(Tables(spark, d).files)
+    return extract.manifest_dependencies(Tables(spark, d).files_with(content=F.when(F.lower("path").endswith(".json"), F.col("content"))))
 
 
 _SQLRE = r"""(?i)["''`]\s*((?:select\s[^"''`]+?\sfrom|delete\s+from|insert\s+into|update)\s+[A-Za-z_][\w$.]*)"""
