@@ -5,10 +5,11 @@ one with the least hash is an anchor, so any run of ``K + W - 1`` = 300 characte
 wherever it appears. Blocks are indexed by hash. A text is then parsed against the blocks of all other texts: at an indexed
 block the factor is extended greedily in both directions as long as both texts agree, blocks inside the factor are skipped,
 and factors of at least ``MIN_SPAN`` characters, compared character by character up to their boundaries, are shared spans.
-Nothing depends on hashes being unequal.
 
-Identical contents are parsed once, as one class. A block in very many classes is replaced by the 300-character runs around it
-(``_runs``), so that only classes that do share a run meet; what still meets there are cases.
+Identical contents are parsed once, as one class. Where a block lies in few classes (``HOT_BLOCK``), what lies around its places is
+compared; a shared run of 300 around a block reaches no further, so texts themselves needn't meet (but for periodic text, which is
+aligned in every way). A block in more classes is replaced by the 300-character runs around it (``_runs``), told apart by digests of
+128 bits, so that only classes that do share a run meet; what still meets there are cases.
 
 Defined results: null texts and texts under the least length share nothing; of a record delivered several times the last
 content holds (the greater one at equal times; a row without content never replaces one with content); ties and repeated
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Least length of a shared span.
 MIN_SPAN = 300
 #: Length of an indexed block.
@@ -202,66 +205,119 @@ def _contents(sources: DataFrame) -> DataFrame:
     return sources.where(F.length("content") >= MIN_SPAN).select(F.substring(F.unhex(F.sha2("content", 256)), 1, 16).alias("c"), "content")
 
 
-def shared_spans(sources: DataFrame) -> DataFrame:
-    """(a, b, a_start, b_start, length): maximal runs shared by two content classes, a < b; of periodic text, as many as cover all that is shared."""
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies around each block as far as a run of MIN_SPAN with the block in it can reach."""
+    for b in batches:
+        rows: list[tuple] = []
+        for c, at, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows.extend((x["h"], c, x["p"], text[max(0, x["p"] - MIN_SPAN + K) : x["p"] + MIN_SPAN]) for x in at)
+        if rows:
+            h, c, p, near = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.binary()), pa.array(p, pa.int32()), pa.array(near, pa.string())], ["h", "c", "p", "near"])
+
+
+def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Factors around one block of the texts that hold it: both sides are compared character by character up to their boundaries."""
+    names = ["a", "b", "a_start", "b_start", "length"]
+    for b in batches:
+        rows: list[tuple] = []
+        for places in b.column(0).to_pylist():
+            places.sort(key=lambda x: (x["c"], x["p"]))
+            for i, x in enumerate(places):
+                ta, at = x["near"], min(x["p"], MIN_SPAN - K)
+                for y in places[i + 1 :]:
+                    if x["c"] == y["c"]:
+                        continue
+                    tb, bt = y["near"], min(y["p"], MIN_SPAN - K)
+                    if ta[at : at + K] != tb[bt : bt + K]:
+                        continue
+                    back, on = _same_back(ta, tb, at, bt), _same(ta, tb, at, bt)
+                    if back + on >= MIN_SPAN:
+                        rows.append((x["c"], y["c"], x["p"] - back, y["p"] - back, back + on))
+        if rows:
+            a = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.binary()), pa.array(a[1], pa.binary()), *[pa.array(x, pa.int32()) for x in a[2:]]], names)
+
+
+_SPAN = "a binary, b binary, a_start int, b_start int, length int"
+
+
+def _index_of(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks of few texts, blocks of many texts, one text per class); a block in one class only is in neither."""
     texts = _contents(sources)
-    blocks = texts.mapInArrow(_index, "h long, c binary, p int, q int").distinct()
-    by_hash = blocks.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "n")
-    shared = blocks.join(by_hash, "h")
-    some, hot = shared.where(F.col("n") <= HOT_BLOCK).select("h", "c", "p", (F.col("q") > F.col("p")).alias("chain")), shared.where(F.col("n") > HOT_BLOCK).select("c", "p", "q")
+    blocks = cut(texts.mapInArrow(_index, "h long, c binary, p int, q int").distinct())
+    by_hash = blocks.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("q") > F.col("p")).alias("chain")).where("lo <> hi").select("h", "n", "chain")
+    shared = cut(blocks.join(by_hash, "h"))
     one_text = texts.groupBy("c").agg(F.first("content").alias("content"))
-    some = some.unionByName(_runs(hot, one_text))
-    a, b = some.select("h", F.col("c").alias("a"), F.col("p").alias("ap"), F.col("chain").alias("ac")), some.select("h", F.col("c").alias("b"), F.col("p").alias("bp"), F.col("chain").alias("bc"))
+    return shared.where(F.col("n") <= HOT_BLOCK), shared.where(F.col("n") > HOT_BLOCK), one_text
+
+
+def _few(some: DataFrame, one_text: DataFrame) -> DataFrame:
+    """(a, b, a_start, b_start, length): factors at blocks that few texts hold."""
+    plain, chains = some.where("not chain"), some.where("chain")
+    # a text goes once to its own blocks; the blocks then meet with what lies around them, not with texts
+    at = plain.groupBy("c").agg(F.collect_list(F.struct("h", "p")).alias("at"))
+    near = at.join(one_text, "c").select("c", "at", "content").mapInArrow(_near, "h long, c binary, p int, near string")
+    found = near.groupBy("h").agg(F.collect_list(F.struct("c", "p", "near")).alias("places")).select("places").mapInArrow(_factors, _SPAN)
+    # periodic text is aligned in every way along the texts themselves
+    chain = (F.col("q") > F.col("p")).alias("chain")
+    a, b = chains.select("h", F.col("c").alias("a"), F.col("p").alias("ap"), chain.alias("ac")), chains.select("h", F.col("c").alias("b"), F.col("p").alias("bp"), chain.alias("bc"))
     meet = a.join(b, "h").where("a < b").groupBy("a", "b", (F.col("ap") - F.col("bp")).alias("shift")).agg(F.collect_set(F.struct(F.col("ap").alias("p"), (F.col("ac") | F.col("bc")).alias("chain"))).alias("at"))
     meet = meet.join(one_text.select(F.col("c").alias("a"), F.col("content").alias("ta")), "a").join(one_text.select(F.col("c").alias("b"), F.col("content").alias("tb")), "b")
-    return meet.select("a", "b", "shift", "at", "ta", "tb").mapInArrow(_parse, "a binary, b binary, a_start int, b_start int, length int")
+    return found.unionByName(meet.select("a", "b", "shift", "at", "ta", "tb").mapInArrow(_parse, _SPAN))
 
 
 def _runs(hot: DataFrame, one_text: DataFrame) -> DataFrame:
-    """(h, c, p, chain): every run of MIN_SPAN characters around the given blocks, by the hash of the run; only runs in two classes stay.
-    Of a chain, all phases are among the runs around its first block, and what follows it is around its last; equal runs of it count once."""
+    """(run, c, s, e): every run of MIN_SPAN characters around the given blocks by its digest of 128 bits, if another class has it too;
+    s and e bound what it covers. Of a chain, all phases are among the runs around its first and around its last block, and equal
+    runs of it cover everything between them."""
     around = lambda lo, hi: F.filter(F.sequence(lo - (MIN_SPAN - K), hi), lambda s: (s >= 0) & (s <= F.length("content") - MIN_SPAN))
     chain = F.col("q") > F.col("p")
     at = F.when(chain, F.array_union(around(F.col("p"), F.col("p") + K // 2), around(F.col("q"), F.col("q")))).otherwise(around(F.col("p"), F.col("p")))
-    run = lambda s: F.struct(s.alias("p"), F.xxhash64(F.substring(F.col("content"), s + 1, F.lit(MIN_SPAN))).alias("h"))
-    rows = hot.join(one_text, "c").select("c", chain.alias("chain"), F.col("p").alias("first"), F.explode(F.transform(at, run)).alias("x"))
-    rows = rows.select(F.col("x.h").alias("h"), "c", F.col("x.p").alias("p"), "chain", F.when(F.col("chain"), F.col("first")).otherwise(F.col("x.p")).alias("first"))
-    rows = rows.groupBy("h", "c", "chain", "first").agg(F.min("p").cast("int").alias("p")).drop("first")
-    twice = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    return rows.join(twice, "h")
+    text = lambda s: F.substring(F.col("content"), s + 1, F.lit(MIN_SPAN))
+    run = lambda s: F.struct(s.alias("p"), F.struct(F.xxhash64(text(s)).alias("x"), F.xxhash64(F.lit(1), text(s)).alias("y")).alias("run"))
+    rows = hot.join(one_text, "c").select("c", F.when(chain, F.col("p")).otherwise(-1).alias("first"), F.explode(F.transform(at, run)).alias("v"))
+    rows = rows.select("v.run", "c", F.col("v.p").alias("p"), F.when(F.col("first") < 0, F.col("v.p")).otherwise(F.col("first")).alias("first"))
+    rows = rows.groupBy("run", "c", "first").agg(F.min("p").alias("s"), (F.max("p") + MIN_SPAN).alias("e")).drop("first")
+    twice = rows.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("run")
+    return rows.join(twice, "run")
 
 
 def shared_pairs(sources: DataFrame) -> DataFrame:
     """(source_id_a, source_id_b): records whose contents share a span, each pair once; identical contents are pairs too."""
     own = records(sources)
     a, b = own.select(F.col("c").alias("a"), F.col("source_id").alias("x")), own.select(F.col("c").alias("b"), F.col("source_id").alias("y"))
-    apart = shared_spans(sources).select("a", "b").distinct().join(a, "a").join(b, "b").select(F.least("x", "y").alias("source_id_a"), F.greatest("x", "y").alias("source_id_b"))
+    some, hot, one_text = _index_of(sources)
+    # of the runs that lie in exactly the same classes one is enough
+    runs = _runs(hot.select("c", "p", "q"), one_text).select("run", "c").distinct()
+    lies = runs.groupBy("run").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("v"))
+    runs = runs.join(lies.groupBy("n", "u", "v").agg(F.min("run").alias("run")).select("run"), "run")
+    many = runs.select("run", F.col("c").alias("a")).join(runs.select("run", F.col("c").alias("b")), "run").where("a < b").select("a", "b")
+    apart = _few(some, one_text).select("a", "b").unionByName(many).distinct().join(a, "a").join(b, "b").select(F.least("x", "y").alias("source_id_a"), F.greatest("x", "y").alias("source_id_b"))
     copies = a.join(b, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("source_id_a"), F.col("y").alias("source_id_b"))
     return apart.unionByName(copies)
 
 
-def _covered(starts: list, ends: list) -> int:
-    total, end = 0, 0
-    for s, e in sorted(zip(starts, ends, strict=True)):
-        total += max(0, e - max(s, end))
-        end = max(end, e)
-    return total
-
-
 def shared_shares(sources: DataFrame) -> DataFrame:
-    """(source_id, chars, shared_chars, share): how much of each record is found elsewhere; records without text have 0 characters and a null share."""
+    """(source_id, chars, shared_chars, share): how much of each record is found elsewhere; records without text have 0 characters and a
+    null share. Only last contents count. No pair of records is formed: copies are counted, blocks in many classes mark the runs
+    around them, and at most HOT_BLOCK classes meet at any other block."""
     own = records(sources)
+    live = own.select("c").distinct()
     sizes = _contents(sources).groupBy("c").agg(F.max(F.length("content")).alias("chars"))
     copies = own.groupBy("c").agg(F.count("*").alias("n"))
-    spans = shared_spans(sources)
-    ends = spans.select(F.col("a").alias("c"), F.col("a_start").alias("s"), "length").unionByName(spans.select(F.col("b").alias("c"), F.col("b_start").alias("s"), "length"))
+    some, hot, one_text = _index_of(sources)
+    some, hot = some.join(live, "c", "left_semi"), hot.join(live, "c", "left_semi")
+    spans = _few(some, one_text)
+    ends = spans.select(F.explode(F.array(*[F.struct(F.col(c).alias("c"), F.col(f"{c}_start").alias("s"), (F.col(f"{c}_start") + F.col("length")).alias("e")) for c in ("a", "b")])).alias("x")).select("x.*")
+    ends = ends.unionByName(_runs(hot.select("c", "p", "q"), one_text).select("c", "s", "e"))
     # distinct intervals of one class are bounded by its length; the union is taken in order
-    ends = ends.groupBy("c", "s").agg(F.max("length").alias("length")).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("s", (F.col("s") + F.col("length")).alias("e")))).alias("xs"))
+    ends = ends.groupBy("c", "s").agg(F.max("e").alias("e")).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("xs"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     union = F.aggregate("xs", zero, lambda z, x: F.struct((z["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], z["end"]))).alias("n"), F.greatest(z["end"], x["e"]).alias("end")))
     part = ends.select("c", union["n"].alias("part"))
     per = sizes.join(copies, "c").join(part, "c", "left").select("c", "chars", F.when(F.col("n") > 1, F.col("chars")).otherwise(F.coalesce("part", F.lit(0))).alias("shared_chars"))
-    every = sources.where("source_id is not null").groupBy("source_id").agg(F.max_by(F.coalesce(F.length("content"), F.lit(0)), "ingested_at").alias("all_chars"))
+    every = sources.where("source_id is not null").groupBy("source_id").agg(F.max_by(F.coalesce(F.length("content"), F.lit(0)), F.struct(F.col("content").isNotNull(), "ingested_at")).alias("all_chars"))
     out = every.join(own, "source_id", "left").join(per, "c", "left")
     chars = F.coalesce("chars", "all_chars", F.lit(0))
     return out.select("source_id", chars.cast("long").alias("chars"), F.coalesce("shared_chars", F.lit(0)).cast("long").alias("shared_chars"), F.round(F.coalesce("shared_chars", F.lit(0)) / F.when(chars > 0, chars), 6).alias("share"))

@@ -101,3 +101,46 @@ def test_split_equals_the_tokenizers_split(text):
     text = text.encode("utf-8", "ignore").decode()
     enc = encode.vocabulary(encode.TOKENIZERS)
     assert [i for w in regex.findall(encode.PATTERN, text) for i in enc.encode_ordinary(w)] == enc.encode_ordinary(text)
+
+
+def brute_shares(rows, n=300):
+    """How many characters of each record lie in a run of n that another record has."""
+    grams = {}
+    for i, c in rows:
+        for p in range(len(c or "") - n + 1):
+            grams.setdefault(c[p : p + n], set()).add(i)
+    out = {}
+    for i, c in rows:
+        marked = bytearray(len(c or ""))
+        for p in range(len(c or "") - n + 1):
+            if len(grams[c[p : p + n]]) > 1:
+                marked[p : p + n] = b"\1" * n
+        out[i] = sum(marked)
+    return out
+
+
+@pytest.mark.parametrize("hot", [40, 1])
+def test_shares_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT_BLOCK", hot)
+    rng = random.Random(11)
+    pool = [words(rng, rng.randrange(280, 900)) for _ in range(6)]
+    rows = []
+    for k in range(25):
+        parts = [words(rng, rng.randrange(0, 200))]
+        for _ in range(rng.randrange(0, 3)):
+            p = rng.choice(pool)
+            at = rng.randrange(0, 120)
+            parts += [p[at : at + rng.randrange(150, 700)], words(rng, rng.randrange(0, 90))]
+        rows.append((f"s{k:02}", "".join(parts)))
+    rows += [("p1", words(rng, 50) + "0, 0, 1, " * 400 + words(rng, 50)), ("p2", words(rng, 20) + "0, 1, 0, " * 80), ("p3", "=" * 1000), ("p4", "-" + "=" * 350), ("n", None)]
+    got = {r.source_id: r.shared_chars for r in spans.shared_shares(sources(spark, rows)).collect()}
+    assert got == brute_shares(rows)
+
+
+def test_superseded_versions_are_not_elsewhere(spark):
+    rng = random.Random(3)
+    text = words(rng, 2000)
+    later = text[:1000] + "?" + text[1001:]
+    rows = [("a", text, T0, "x", 1, "y", 2), ("a", later, datetime(2025, 2, 1), "x", 1, "y", 2), ("b", words(rng, 900), T0, "x", 1, "y", 2)]
+    got = {r.source_id: r.shared_chars for r in spans.shared_shares(spark.createDataFrame(rows, SRC)).collect()}
+    assert got == {"a": 0, "b": 0}
