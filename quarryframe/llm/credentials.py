@@ -4,13 +4,13 @@ Candidates are values that stand where credentials stand: shapes of known issuer
 strings, private key blocks, values assigned to names that speak of secrets (in several languages), and arguments of login
 calls. Pattern matches label some of them weakly. Character Markov models of labelled secrets and of labelled other values are
 counted over all data (a table of fixed size); a logistic regression on their likelihood ratio, the words of the name, the shape
-of the value and the path is fitted on a bounded sample (``SAMPLE`` rows, the smallest hashes) and calibrated on another;
+of the value and the path is fitted on a bounded sample (about ``SAMPLE`` rows, by hash) and calibrated on another;
 candidates with a calibrated probability of at least ``CUT`` that an exact check doesn't exclude are credentials, and are masked
 by stars of equal length.
 
 Defined results: null and empty texts have none and come back as they are; repeated rows of a record count once; a credential
 over several lines is one, at its first line, and keeps its line breaks when masked; quotes, prefixes and user names stay;
-without labelled candidates (empty tables) nothing is a credential; whole texts are read.
+where labels of only one kind exist, they decide themselves; whole texts are read; only the last text of a record counts.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ _SHAPES: list[tuple[str, tuple[str, ...], re.Pattern[str]]] = [
     ("conn", ("AccountKey=", "SharedAccessKey=", "SharedAccessSignature="), re.compile(r"\b(?:AccountKey|SharedAccessKey|SharedAccessSignature)=([^;\"'\s]{6,})")),
 ]
 _CALLS = ("ogin(", "og_in(", "ign_in(", "ignIn(", "onnect(", "uthenticate(", "assword(", "uth(", "redentials(", "redential(")
-_CALL = re.compile(r"\b(?:\w*[._])?(?:login|log_in|signIn|sign_in|connect|authenticate|setPassword|set_password|withPassword|with_password|basicAuth|basic_auth|withCredentials|with_credentials|withBasicAuth|[Cc]redentials?|BasicAuth|HTTPBasicAuth)\(([^()\n]*)\)?")
+_CALL = re.compile(r"\b(?:\w*[._])?(?:login|log_in|signIn|sign_in|connect|authenticate|setPassword|set_password|withPassword|with_password|basicAuth|basic_auth|withCredentials|with_credentials|withBasicAuth|[Cc]redentials?|BasicAuth|HTTPBasicAuth)\(((?:[^()\n]|\([^()\n]*\))*)\)?")
 # Words that speak of secrets: what the text must hold in lower case, and the pattern.
 _SECRET_WORDS = ("pass", "pwd", "secret", "token", "credential", "kennwort", "contrase", "clave", "mdp", "geheim", "key", "bearer", "jwt", "auth", "salt")
 _SECRET = re.compile(r"passw|passphrase|passwd|pwd|pass(?![a-z])|passe(?![a-z])|secret|token|credential|kennwort|contrase|clave(?![a-z])|mdp(?![a-z])|geheim|(?:api|access|private|signing|encryption|hmac|master|account|shared|auth|client|license|storage|deploy|ssh|service|admin)[_\-. ]?key|bearer|jwt|authorization|auth(?![a-z])|salt(?![a-z])")
@@ -72,6 +72,7 @@ _DUMMY = re.compile(r"your[-_ ]|^your|change.?me|change.?it|example|placeholder|
 _UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
 _HEX = re.compile(r"^(?:0x)?[0-9a-f]{24,}$", re.I)
 _PREFIXED_HASH = re.compile(r"^(?:sha\d+|md5)[:\-]", re.I)
+_PASSPHRASE = re.compile(r"^[a-zà-ÿ]{3,}(?:[-_.][a-zà-ÿ]{3,}){3,}$")
 _WORDS = re.compile(r"^[A-Za-zÀ-ÿ]+(?:[ ._/\-:][A-Za-zÀ-ÿ]+)*$|^[A-Za-z]+(?:[A-Z][a-z]+)+\d{0,2}$|^[a-z]+(?:[-_.][a-z]+)*[-_.:]?\d{1,6}$|^[\d.,:\-/ ]+$")
 _CAMEL = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-ZÀ-Þ]?[a-zà-ÿ]+|\d+")
 _ALPHABET = {c: i for i, c in enumerate(map(chr, range(32, 127)))}
@@ -89,11 +90,18 @@ class Candidate:
         self.start, self.end, self.value, self.name, self.kind, self.quoted = start, end, value, name, kind, quoted
 
 
+_NAME_BEFORE = re.compile(r"([\w.\-]+)[\"']?\]?\s*(?::\s*[A-Za-z][\w<>]*\s*)?(?::=|=>|[:=])\s*[rRbBuUfF]?[\"'`]?$")
+
+
 def _name_before(text: str, at: int) -> str:
     """The name that the value at text[at] is given to on its line."""
-    line = text[max(text.rfind("\n", 0, at) + 1, at - 120) : at]
-    m = re.search(r"([\w.\-]+)[\"']?\]?\s*(?::\s*[A-Za-z][\w<>]*\s*)?(?::=|=>|[:=])\s*[rRbBuUfF]?[\"'`]?$", line)
-    return m[1] if m else ""
+    first, width = text.rfind("\n", 0, at) + 1, 128
+    while True:
+        low = max(first, at - width)
+        m = _NAME_BEFORE.search(text, low, at)
+        if low == first or m is None and not text[low:at].strip(" \t\"'`rRbBuUfF=:>") == "" or m is not None and m.start() > low:
+            return m[1] if m else ""
+        width *= 4
 
 
 def candidates(text: str, path: str) -> list[Candidate]:
@@ -212,9 +220,17 @@ def plain(c: Candidate) -> bool:
     return bool(_REFERENCE.search(v) or _DUMMY.search(v) or len(set(v)) <= 2 or _UUID.match(v) or _PREFIXED_HASH.match(v) or " " in v or (c.kind in ("named", "call") and v.startswith(("/", "./", "http://", "https://"))) or v.startswith("ssh-"))
 
 
+def passphrase(c: Candidate) -> bool:
+    """Whether the value is several plain words under a name that speaks of a password itself."""
+    if not _PASSPHRASE.match(c.value):
+        return False
+    strong, about, _ = name_strength(c.name)
+    return strong == 1.0 and not about
+
+
 def excluded(c: Candidate) -> bool:
     """The exact check after the score: what is plainly none, plain lower-case words and numbers, and digests under a digest's name."""
-    return c.kind != "pem" and (plain(c) or (c.kind in ("named", "call") and bool(_LOWER_WORDS.match(c.value))) or (c.kind == "named" and bool(_HEX.match(c.value)) and name_strength(c.name)[2] > 0 and name_strength(c.name)[0] < 1))
+    return c.kind != "pem" and (plain(c) or (c.kind in ("named", "call") and bool(_LOWER_WORDS.match(c.value)) and not passphrase(c)) or (c.kind == "named" and bool(_HEX.match(c.value)) and name_strength(c.name)[2] > 0 and name_strength(c.name)[0] < 1))
 
 
 def weak_label(c: Candidate) -> int | None:
@@ -233,6 +249,8 @@ def weak_label(c: Candidate) -> int | None:
     strong, about, hashed = name_strength(c.name)
     if about or hashed:
         return 0
+    if passphrase(c):
+        return 1
     if strong == 1.0 or c.kind == "call":
         if _LOWER_WORDS.match(v):
             return 0
@@ -257,13 +275,13 @@ def features(c: Candidate, ratio: float, path: str) -> list[float]:
     mixed = float(lo + up + di + sy >= 3 and len(v) >= 7)
     low = (path or "").lower()
     return [
-        1.0, ratio, min(n, 40) / 20, _entropy(v[:64]) / 4, float(lo), float(up), float(di), float(sy), mixed, float(bool(_HEX.match(v))), float(bool(_WORDS.match(v))), float(bool(_LOWER_WORDS.match(v))), strong * float(bool(_LOWER_WORDS.match(v))), strong * float(di and lo + up > 0 and len(v) >= 6), float(plain(c)), strong, about, hashed, strong * mixed, strong * float(bool(_HEX.match(v))),
+        1.0, float(passphrase(c)), ratio, min(n, 40) / 20, _entropy(v) / 4, float(lo), float(up), float(di), float(sy), mixed, float(bool(_HEX.match(v))), float(bool(_WORDS.match(v))), float(bool(_LOWER_WORDS.match(v))), strong * float(bool(_LOWER_WORDS.match(v))), strong * float(di and lo + up > 0 and len(v) >= 6), float(plain(c)), strong, about, hashed, strong * mixed, strong * float(bool(_HEX.match(v))),
         float(c.kind == "issued"), float(c.kind == "url"), float(c.kind in ("basic", "header")), float(c.kind == "conn"), float(c.kind == "pem"), float(c.kind == "call"), float(c.quoted), strong * float(not c.quoted), float(low.endswith(_CODE)), float(bool(re.search(r"(?:^|/)(?:test|tests|fixtures?|examples?|samples?|mocks?)/", low))), float(low.endswith((".yml", ".yaml", ".json", ".properties", ".env", ".ini", ".toml"))), float(low.endswith((".md", ".rst", ".txt"))), float(_basic_ok(v)) if c.kind == "basic" else 0.0,
     ]
 
 
 def _codes(v: str) -> list[int]:
-    return [_N - 1, *[_ALPHABET.get(ch, _N - 2) for ch in v[:200]], _N - 1]
+    return [_N - 1, *[_ALPHABET.get(ch, _N - 2) for ch in v], _N - 1]
 
 
 class Model:
@@ -275,13 +293,17 @@ class Model:
         self.scale, self.shift = 1.0, 0.0
 
     def ratio(self, v: str) -> float:
+        if v.startswith("-----BEGIN"):
+            return 0.0
         k = _codes(v)
         d = self.logs[1] - self.logs[0]
         return float(np.clip(sum(d[a, b] for a, b in zip(k, k[1:])) / max(1, len(k) - 1), -1.5, 1.5))
 
     def score(self, c: Candidate, path: str) -> float:
-        if self.weights is None or excluded(c):
+        if excluded(c):
             return 0.0
+        if self.weights is None:  # nothing to fit: the patterns decide
+            return float(weak_label(c) == 1)
         z = float(np.dot(self.weights, features(c, self.ratio(c.value), path))) * self.scale + self.shift
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -307,24 +329,24 @@ def texts(sources: DataFrame, evidence: DataFrame) -> DataFrame:
     return a.unionByName(evidence.select(F.lit("evidence").alias("record_table"), F.col("evidence_id").alias("record_id"), "path", F.col("excerpt").alias("text"), F.col("ingested_at").alias("at")))
 
 
-_FOUND = "record_table string, record_id string, path string, line_no int, start int, stop int, value string, name string, kind string, quoted boolean, label int"
+_FOUND = "record_table string, record_id string, path string, line_no int, start int, stop int, value string, name string, kind string, quoted boolean, label int, version long"
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
-        for t, i, path, text in zip(f["record_table"], f["record_id"], f["path"], f["text"], strict=True):
+        for t, i, path, text, version in zip(f["record_table"], f["record_id"], f["path"], f["text"], f["version"], strict=True):
             for c in candidates(text, path or ""):
                 y = weak_label(c)
                 # a key block is known by its head; what follows doesn't take part in the scores
-                rows.append((t, i, path, text.count("\n", 0, c.start) + 1, c.start, c.end, c.value if c.kind != "pem" else c.value[:27], c.name, c.kind, c.quoted, y))
-        out = pd.DataFrame(rows, columns=["record_table", "record_id", "path", "line_no", "start", "stop", "value", "name", "kind", "quoted", "label"])
+                rows.append((t, i, path, text.count("\n", 0, c.start) + 1, c.start, c.end, c.value if c.kind != "pem" else c.value[:27], c.name, c.kind, c.quoted, y, version))
+        out = pd.DataFrame(rows, columns=["record_table", "record_id", "path", "line_no", "start", "stop", "value", "name", "kind", "quoted", "label", "version"])
         out["label"] = pd.array(list(out["label"]), dtype="Int32")
         yield out
 
 
 def extracted(rows: DataFrame) -> DataFrame:
-    return rows.where("length(text) > 0 and record_id is not null").select("record_table", "record_id", "path", "text").mapInPandas(_extract, _FOUND)
+    return rows.where("length(text) > 0 and record_id is not null").select("record_table", "record_id", "path", "text", F.xxhash64("path", "text").alias("version")).mapInPandas(_extract, _FOUND)
 
 
 def _bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,20 +360,33 @@ def _bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": np.full(len(a), y, dtype=np.int32), "a": a.astype(np.int32), "b": b.astype(np.int32), "n": c[a, b].astype(np.int64)})
 
 
+def _featured(model: Model):
+    def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [features(Candidate(0, 0, v, n, k, bool(q)), model.ratio(v), path or "") for v, n, k, q, path in zip(f["value"], f["name"], f["kind"], f["quoted"], f["path"], strict=True)]
+            yield pd.DataFrame({"o": f["o"], "y": f["label"].astype("int32"), "x": rows})
+
+    return featured
+
+
 def train(found: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of all labelled candidates: counts over all of them, weights from a bounded sample."""
-    labelled = found.where("label is not null and kind <> 'pem'")
+    labelled = found.where("label is not null")
     counts = {0: np.zeros((_N, _N)), 1: np.zeros((_N, _N))}
     # at most 2 * 97 * 97 rows, whatever the data
-    for r in labelled.select("label", "value").mapInPandas(_bigrams, "label int, a int, b int, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
+    for r in labelled.where("kind <> 'pem'").select("label", "value").mapInPandas(_bigrams, "label int, a int, b int, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
         counts[r["label"]][r["a"], r["b"]] = r["n"]
     model = Model(counts)
-    order = F.xxhash64("record_table", "record_id", "start")
-    rows = labelled.select("path", "value", "name", "kind", "quoted", "label", order.alias("o")).orderBy("o", "value").limit(2 * sample).toPandas()
-    if not len(rows) or rows["label"].nunique() < 2:
+    # a share of all labelled rows by their hashes, so that about 2 * sample are expected; only their features come to the driver
+    n = labelled.count()
+    order = F.xxhash64("record_table", "record_id", "start", "value")
+    rows = labelled.select("path", "value", "name", "kind", "quoted", "label", order.alias("o"))
+    if n > 2 * sample:
+        rows = rows.where(F.col("o") < int(-(1 << 63) + (1 << 64) * (2 * sample / n)))
+    got = rows.mapInPandas(_featured(model), "o long, y int, x array<float>").toPandas().sort_values(["o", "y"], kind="stable")
+    if not len(got) or got["y"].nunique() < 2:
         return model
-    x = np.array([features(c := Candidate(0, 0, r.value, r.name, r.kind, r.quoted), model.ratio(r.value), r.path or "") for r in rows.rename(columns={"name": "name"}).itertuples(index=False)])
-    y = rows["label"].to_numpy(dtype=float)
+    x, y = np.array(got["x"].tolist(), dtype=float), got["y"].to_numpy(dtype=float)
     half = np.arange(len(y)) % 2 == 0 if len(y) >= 40 else np.ones(len(y), dtype=bool)
     model.weights = fit_logistic(x[half], y[half])
     # Platt's calibration on the rows that weren't fitted
@@ -366,9 +401,9 @@ def train(found: DataFrame, sample: int = SAMPLE) -> Model:
 def _score(model: Model, least: float):
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            p = [1.0 if k == "pem" else model.score(Candidate(0, 0, v, n, k, bool(q)), path or "") for v, n, k, q, path in zip(f["value"], f["name"], f["kind"], f["quoted"], f["path"], strict=True)]
+            p = [model.score(Candidate(0, 0, v, n, k, bool(q)), path or "") for v, n, k, q, path in zip(f["value"], f["name"], f["kind"], f["quoted"], f["path"], strict=True)]
             f = f.assign(score=p)
-            yield f.loc[f["score"] >= least, ["record_table", "record_id", "path", "line_no", "start", "stop", "kind", "name", "score"]]
+            yield f.loc[f["score"] >= least, ["record_table", "record_id", "version", "path", "line_no", "start", "stop", "kind", "name", "score"]]
 
     return score
 
@@ -377,9 +412,11 @@ def credentials(sources: DataFrame, evidence: DataFrame, least: float = CUT) ->
     """(record_table, record_id, path, line_no, start, stop, kind, name, score): each credential of each record's rows."""
     found = cut(extracted(texts(sources, evidence)))
     model = train(found)
-    kept = found.select("record_table", "record_id", "path", "line_no", "start", "stop", "kind", "name", "value", "quoted").mapInPandas(
-        _score(model, least), "record_table string, record_id string, path string, line_no int, start int, stop int, kind string, name string, score double")
-    return kept.distinct()
+    kept = found.select("record_table", "record_id", "version", "path", "line_no", "start", "stop", "kind", "name", "value", "quoted").mapInPandas(
+        _score(model, least), "record_table string, record_id string, version long, path string, line_no int, start int, stop int, kind string, name string, score double")
+    # texts aren't moved to find the last one of a record, only their digests
+    last = texts(sources, evidence).where("record_id is not null").groupBy("record_table", "record_id").agg(F.max(F.struct(F.col("text").isNotNull(), "at", F.xxhash64("path", "text").alias("version"))).alias("v"))
+    return kept.distinct().join(last.select("record_table", "record_id", F.col("v.version").alias("version")), ["record_table", "record_id", "version"], "left_semi").drop("version")
 
 
 _KEY_BODY = re.compile(r"(?<![\\A-Za-z0-9+/=])[A-Za-z0-9+/=]{4,}|(?<=\\[nr])[A-Za-z0-9+/=]{4,}")
@@ -410,7 +447,7 @@ def _mask_frames(model: Model, least: float):
         for f in frames:
             out, n = [], []
             for path, text in zip(f["path"], f["text"], strict=True):
-                hits = [c for c in candidates(text, path or "") if c.kind == "pem" or model.score(c, path or "") >= least] if text else []
+                hits = [c for c in candidates(text, path or "") if model.score(c, path or "") >= least] if text else []
                 out.append(mask(text, [x for c in hits for x in hidden_spans(text, c)]) if hits else text)
                 n.append(len(hits))
             yield f[["record_table", "record_id"]].assign(text=out, masked=n)
@@ -422,5 +459,5 @@ def redacted(sources: DataFrame, evidence: DataFrame, least: float = CUT) -> Dat
     """(record_table, record_id, text, masked): each record's last text with its credentials masked, null texts included."""
     rows = texts(sources, evidence)
     model = train(cut(extracted(rows)))
-    last = rows.where("record_id is not null").groupBy("record_table", "record_id").agg(F.max_by(F.struct("path", "text"), F.struct(F.col("text").isNotNull(), "at")).alias("v")).select("record_table", "record_id", "v.*")
+    last = rows.where("record_id is not null").groupBy("record_table", "record_id").agg(F.max_by(F.struct("path", "text"), F.struct(F.col("text").isNotNull(), "at", F.xxhash64("path", "text"))).alias("v")).select("record_table", "record_id", "v.*")
     return last.mapInPandas(_mask_frames(model, least), "record_table string, record_id string, text string, masked int")
