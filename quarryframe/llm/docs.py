@@ -39,7 +39,7 @@ _NAMED = frozenset("param arg argument parameter key keyword kwarg throws except
 _SECTION = re.compile(r"^(?:args|arguments|parameters|params|returns?|raises|throws|yields|examples?|notes?|keyword args)\s*:?\s*$", re.I)
 _SMALL = frozenset("a an the this that it its of for to in on by with from and or as is are be method function class constructor helper der die das den dem ein eine le la les un une el los las una de del des du".split())
 _CODE_LINE = re.compile(
-    r"^(?:[\w$.\[\]]+(?:\s*:\s*[\w<>\[\], ]+)?\s*[-+*/|&]?=(?!=)\s*\S.*[;)\]\w]|(?:await\s+|new\s+)?[\w$]+(?:(?:\.|\?\.|::|->)[\w$]+)+\s*\(.*\)?[;{]?|[\w$]+\([^()]*[\d\"',=][^()]*\);?|(?:return|throw|raise|yield|assert|del|import|from|break|continue|pass)\b(?:\s+[\w$.(){}\[\]\"',\d+*/-]+)*;?|.*;\s*|[{}()\[\];,\s]+|.*[{]\s*|[})\]]+[;,)]*(?:\s*(?:else|catch|finally)\b.*)?"
+    r"^(?:[\w$.\[\]]+(?:\s*:\s*[\w<>\[\], ]+)?\s*[-+*/|&]?=(?!=)\s*\S.*[;)\]\w]|(?:await\s+|new\s+)?[\w$]+(?:(?:\.|\?\.|::|->)[\w$]+)+\s*\(.*\)?[;{]?|[\w$]+\([^()]*[\d\"',=][^()]*\);?|(?:return|throw|raise|yield|assert|del|import|from|break|continue|pass)\b(?:\s+[\w$.(){}\[\]\"',\d+*/-]+)*;?|[\w$.]+;\s*|.*[()=\[\]{}<>+*\"'|&].*;\s*|(?:var|let|const|val|final|int|long|double|float|boolean|bool|char|byte|short|void|string|String|auto|[A-Z]\w*)\s+[\w$]+;\s*|[{}()\[\];,\s]+|.*[{]\s*|[})\]]+[;,)]*(?:\s*(?:else|catch|finally)\b.*)?"
     r"|(?:if|for|while|switch|elif|with|else|try|except)\b.*[:{)]\s*|(?:async\s+)?(?:def|class)\s+\w+.*:\s*|(?:(?:public|private|protected|internal|static|final|export|async|suspend|override|abstract|default)\s+)*(?:function|fun|def|class|interface|const|let|var|val)\s+[\w$]+\s*[(<=:{].*|@\w+\(.*\))$")
 _PROSE_END = re.compile(r"[.!?…]\s*$")
 
@@ -304,8 +304,9 @@ def _overrides(path: str, name: str, head: str) -> bool:
 def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each parent in each class head of a file, whatever symbols the file has."""
     for f in frames:
-        rows = [(repo, name, above) for repo, content in zip(f["repo_id"], f["content"], strict=True) for _, _, name, parents in _classes(content.split("\n")) for above in parents]
-        yield pd.DataFrame(rows, columns=["repo_id", "class_name", "above"])
+        keys = zip(f["generation_id"], f["path"], f["version"], f["content"], strict=True)
+        rows = [(gen, path, version, name, above) for gen, path, version, content in keys for _, _, name, parents in _classes(content.split("\n")) for above in parents]
+        yield pd.DataFrame(rows, columns=["generation_id", "path", "version", "class_name", "above"])
 
 
 _ROWS = "generation_id string, repo_id string, path string, name string, start_line int, kind string, class_name string, parents array<string>, doc string, inherits boolean, code string"
@@ -323,25 +324,26 @@ def _pair(with_code: bool):
                     starts.append(n)
                     n += len(x) + 1
                 python = path.lower().endswith((".py", ".pyi"))
-                classes = _classes(lines) if with_code else []
+                classes = _classes(lines)
                 for s in symbols:
                     own = documentation(lines, text, starts, s["start_line"], s["name"], python, s["end_line"] or 0)
                     doc = said(own, s["name"])
-                    name, parents, code, inherits = None, [], None, False
+                    name, parents, code = None, [], None
+                    at = s["start_line"] - 1
+                    if not 0 <= at < len(lines):
+                        continue
+                    indent = len(lines[at].expandtabs(4)) - len(lines[at].expandtabs(4).lstrip())
+                    inside = [c for c in classes if c[0] < at and c[1] < indent]
+                    if inside:
+                        name, parents = inside[-1][2], inside[-1][3]
+                    head = lines[_declaration(lines, at, s["end_line"] or 0, s["name"], python)]
+                    inherits = bool(parents) and _overrides(path, s["name"], head) or any(_INHERIT.search(x) for x in own) or any("@Override" in x for x in lines[max(0, at - 3) : at + 3]) or " override " in f" {lines[at]} "
                     if with_code:
-                        at = s["start_line"] - 1
-                        if not 0 <= at < len(lines):
-                            continue
-                        indent = len(lines[at].expandtabs(4)) - len(lines[at].expandtabs(4).lstrip())
-                        inside = [c for c in classes if c[0] < at and c[1] < indent]
-                        if inside:
-                            name, parents = inside[-1][2], inside[-1][3]
-                        head = lines[_declaration(lines, at, s["end_line"] or 0, s["name"], python)]
-                        inherits = bool(parents) and _overrides(path, s["name"], head) or any(_INHERIT.search(x) for x in own) or any("@Override" in x for x in lines[max(0, at - 3) : at + 3]) or " override " in f" {lines[at]} "
                         code = _code(lines, s["start_line"], s["end_line"], python)
-                        if doc:
-                            doc = "\n".join(own).strip()
-                    if doc or with_code:
+                        doc = doc and "\n".join(own).strip()
+                    elif doc:
+                        doc = "."
+                    if doc or inherits and name:
                         rows.append((gen, repo, path, s["name"], s["start_line"], s["kind"], name, parents, doc or None, inherits, code))
             yield pd.DataFrame(rows, columns=["generation_id", "repo_id", "path", "name", "start_line", "kind", "class_name", "parents", "doc", "inherits", "code"])
 
@@ -349,44 +351,52 @@ def _pair(with_code: bool):
 
 
 def _last(sources: DataFrame) -> DataFrame:
-    """(generation_id, path, repo_id, content): the last text of each file."""
-    last = sources.where("length(content) > 0").groupBy("generation_id", "path").agg(F.max_by(F.struct("repo_id", "content"), "ingested_at").alias("v"))
-    return last.select("generation_id", "path", "v.*")
+    """(generation_id, path, repo_id, version): which text of a file is its last; texts aren't moved for it."""
+    last = sources.where("length(content) > 0").groupBy("generation_id", "path").agg(F.max(F.struct("ingested_at", F.xxhash64("content").alias("version"), "repo_id")).alias("v"))
+    return last.select("generation_id", "path", "v.repo_id", "v.version")
 
 
-def _read(sources: DataFrame, symbols: DataFrame, with_code: bool) -> DataFrame:
+def _read(sources: DataFrame, symbols: DataFrame, with_code: bool) -> tuple[DataFrame, DataFrame]:
+    """The functions of the last texts, and (generation_id, repo_id, class_name, above) of their class heads; a text is read once for both."""
     wanted = symbols.where("kind in ('function', 'method') and name is not null and start_line is not null").select("generation_id", "path", "name", "start_line", "end_line", "kind")
     # the symbols of one file: bounded by its lines
     one = F.struct("name", "start_line", "kind", "end_line")
     wanted = wanted.groupBy("generation_id", "path", "name", "start_line", "kind").agg(F.max("end_line").alias("end_line"))
     wanted = wanted.groupBy("generation_id", "path").agg(F.collect_list(one).alias("symbols"))
-    files = _last(sources) if with_code else sources.where("length(content) > 0").select("generation_id", "path", "repo_id", "content")
-    rows = files.join(wanted, ["generation_id", "path"]).select("generation_id", "repo_id", "path", "content", "symbols")
-    return rows.mapInPandas(_pair(with_code), _ROWS)
+    last = _last(sources)
+    texts = sources.where("length(content) > 0").select("generation_id", "path", "content", F.xxhash64("content").alias("version"))
+    rows = texts.join(last.join(wanted, ["generation_id", "path"]), ["generation_id", "path", "version"]).select("generation_id", "repo_id", "path", "content", "symbols")
+    heads = texts.where(F.col("path").rlike(_CODE_PATH)).mapInPandas(_heads, "generation_id string, path string, version long, class_name string, above string")
+    heads = heads.join(last, ["generation_id", "path", "version"]).select("generation_id", "repo_id", "class_name", "above").distinct()
+    return rows.mapInPandas(_pair(with_code), _ROWS), heads
 
 
 def documented(sources: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(generation_id, path, name, start_line) of the functions and methods with documentation of their own."""
-    return _read(sources, symbols, False).select("generation_id", "path", "name", "start_line").distinct()
+    """(generation_id, path, name, start_line) of the functions and methods with documentation of their own: the pairs that aren't inherited."""
+    return pairs(sources, symbols, with_code=False).where("not inherited").select("generation_id", "path", "name", "start_line").distinct()
 
 
-def pairs(sources: DataFrame, symbols: DataFrame) -> DataFrame:
+def pairs(sources: DataFrame, symbols: DataFrame, with_code: bool = True) -> DataFrame:
     """(generation_id, repo_id, path, name, start_line, kind, class_name, doc, inherited, code): code with its description; a method
-    without one takes that of the method it overrides in the nearest class above that has one. Classes need no symbols to be links."""
-    rows = cut(_read(sources, symbols, True))
+    without one takes that of the method it overrides in the nearest class above that has one. Classes need no symbols to be links;
+    of classes of one name those of the same generation come first, then the least text. Repeated rows of a file give one."""
+    read, heads = _read(sources, symbols, with_code)
+    rows = cut(read.distinct())
     keep = ["generation_id", "repo_id", "path", "name", "start_line", "kind", "class_name", "doc", "inherited", "code"]
     have = rows.where("doc is not null").withColumn("inherited", F.lit(False))
     # a method and the class above it, one row per parent named in the class head
     open_ = rows.where("doc is null and inherits and class_name is not null").withColumn("parent", F.explode("parents")).select("generation_id", "repo_id", "path", "name", "start_line", "kind", "class_name", "code", "parent")
-    heads = cut(_last(sources).where(F.col("path").rlike(_CODE_PATH)).select("repo_id", "content").mapInPandas(_heads, "repo_id string, class_name string, above string").distinct())
-    texts = have.where("class_name is not null").groupBy("repo_id", F.col("class_name").alias("parent"), "name").agg(F.min("doc").alias("doc"))
+    texts = have.where("class_name is not null").groupBy("repo_id", F.col("class_name").alias("parent"), "name", F.col("generation_id").alias("of")).agg(F.min("doc").alias("doc"))
     out = have.select(*keep)
+    if not open_.isEmpty():
+        heads = cut(heads.select("repo_id", "class_name", "above").distinct())
     seen = open_.select("repo_id", "class_name", "name", "parent").distinct()
     while not open_.isEmpty():
         met = open_.join(texts, ["repo_id", "parent", "name"], "left")
-        found = cut(met.where("doc is not null").groupBy("generation_id", "repo_id", "path", "name", "start_line", "kind", "class_name").agg(F.min("doc").alias("doc"), F.first("code").alias("code")))
+        nearest = F.min(F.struct((F.col("of") != F.col("generation_id")).alias("far"), "doc"))
+        found = cut(met.where("doc is not null").groupBy("generation_id", "repo_id", "path", "name", "start_line", "kind", "class_name").agg(nearest.getField("doc").alias("doc"), F.min("code").alias("code")))
         out = out.unionByName(found.withColumn("inherited", F.lit(True)).select(*keep))
-        left = met.where("doc is null").drop("doc").join(found.select("generation_id", "path", "name", "start_line"), ["generation_id", "path", "name", "start_line"], "left_anti")
+        left = met.where("doc is null").drop("doc", "of").join(found.select("generation_id", "path", "name", "start_line"), ["generation_id", "path", "name", "start_line"], "left_anti")
         up = left.join(heads.select("repo_id", F.col("class_name").alias("parent"), "above"), ["repo_id", "parent"]).drop("parent").withColumnRenamed("above", "parent")
         # a cycle of class heads leads nowhere new
         open_ = cut(up.join(seen, ["repo_id", "class_name", "name", "parent"], "left_anti"))
