@@ -3,7 +3,8 @@
 Documents are split into pre-tokens block by block; a block's distinct words leave it once each, with all their positions
 packed as binary deltas, and meet in one shuffle by word. There every distinct word is encoded once, its ids are joined back
 to the rows of all blocks that hold it, and a second shuffle by block puts the ids in order. A word as frequent as " the"
-is one row a block, so no word is a hot key. Decoding joins the ids with the table of token bytes.
+is one row a block; where its positions take more than ``WIDE`` bytes it is spread by block over ``SPREAD`` reducers (and encoded
+once in each), so what one word brings to one reducer is at most ``WIDE`` bytes a block. Decoding joins the ids with the table of token bytes.
 
 Defined results: null and empty texts give an empty list; strings that look like special tokens are ordinary text; texts of
 any length are whole (a text longer than ``BLOCK_CHARS`` is a block of its own); repeated texts are encoded alike; an empty
@@ -30,7 +31,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A block ends when its texts have so many characters together.
 BLOCK_CHARS = 8_000_000
 
-_PACKED = "block long, word string, at binary, base int"
+#: A word whose positions in a block take more bytes than this doesn't meet all its others: it is spread over so many reducers.
+WIDE, SPREAD = 64, 4096
+
+_PACKED = "block long, word string, at binary, salt int"
 
 
 @functools.lru_cache(maxsize=4)
@@ -81,9 +85,11 @@ def _pack(folder: str):
             ids = np.array([-1 if x is None else x for x in docs], dtype=np.int64)
             none = np.array([x is None for x in docs], dtype=np.uint8)
             head = np.int64(len(docs)).tobytes() + ids.tobytes() + np.array(counts, dtype=np.int64).tobytes() + none.tobytes()
+            own = 1 + ((number >> 32) * 2654435761 + (number & 0xFFFFFFFF)) % SPREAD
+            salt = [own if len(x) > WIDE else 0 for x in (head, *packed)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * (len(codes) + 1), pa.int64()), pa.array([None, *codes], pa.string()), pa.array([head, *packed], pa.binary()), pa.array([0] * (len(codes) + 1), pa.int32())],
-                ["block", "word", "at", "base"],
+                [pa.array([number] * (len(codes) + 1), pa.int64()), pa.array([None, *codes], pa.string()), pa.array([head, *packed], pa.binary()), pa.array(salt, pa.int32())],
+                ["block", "word", "at", "salt"],
             )
             docs, counts, codes, flat, chars, number = [], [], {}, [], 0, number + 1
 
@@ -162,8 +168,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_corpus(documents: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(doc_id long, ids array<int>): every document's ids, without special tokens."""
     packed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizers), _PACKED)
-    # the row of a block's documents has no word; it takes a random reducer instead of all meeting in one
-    by_word = packed.repartition(F.coalesce("word", F.concat(F.lit("\x00"), F.col("block").cast("string")))).sortWithinPartitions("word")
+    # the row of a block's documents has no word; it takes a reducer by its block instead of all meeting in one
+    by_word = packed.repartition(F.coalesce("word", F.concat(F.lit("\x00"), F.col("block").cast("string"))), "salt").sortWithinPartitions("word")
     coded = by_word.mapInArrow(_encode(tokenizers), "block long, ids binary, at binary")
     return coded.repartition("block").sortWithinPartitions("block").mapInArrow(_assemble, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 

@@ -1,8 +1,8 @@
 """Subject areas of documents by class-association rules.
 
-Labelled documents (at most ``SAMPLE``, those with the smallest hashes) give transactions: the informative words and word pairs
+Labelled documents (about ``SAMPLE`` at most, a share by hash) give transactions: the informative words and word pairs
 of a sentence together with the subjects of its document. Parallel frequent-pattern growth finds the frequent sets; those with
-a subject are rules, and a rule is pruned if a more general one for the same subject is as sure. A second pass mines in which
+a subject are rules, and a rule is pruned if a more general one for the same subject is as sure. A second pass counts in which
 wordings a subject that a rule finds isn't one of its document ("named in passing"), from the words around the match. Every
 document is then scored sentence by sentence: the surest matching rule counts, less what its wording is known to be worth, and
 a calibrated share and amount of evidence decides which subjects, three at most, the text is about.
@@ -39,6 +39,8 @@ DEFAULT = (-5.4, 0.45, 4.6)
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`|https?://\S+|\S+@\S+|<[^>\n]{1,200}>|[\w.-]+/[\w./{}-]+|\b\w+(?:[._]\w+)+\b|\b[a-z]+[A-Z]\w*\b|^\s*\|.*\|\s*$|^\s*#+ .*$", re.M)
+# what a line must hold to hold any of these
+_SIGN = re.compile(r"[`@<|#_/]|\.\w|[a-z][A-Z]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*\n|\n(?=\s*(?:[-*+>]|\d+[.)])\s)|\s*[;()]\s*|\n")
 
@@ -47,7 +49,10 @@ def sentences(text: str | None) -> list[list[str]]:
     """The words of each sentence in lower case, without code, links and identifiers."""
     if not text or not text.strip():
         return []
-    bare = _INLINE.sub(" _ ", _FENCE.sub("\n\n", text.replace("\r\n", "\n")))
+    text = text.replace("\r\n", "\n")
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n\n", text)
+    bare = "\n".join([_INLINE.sub(" _ ", x) if _SIGN.search(x) else x for x in text.split("\n")])
     # lines that wrap a sentence are joined
     bare = re.sub(r"(?<=[^\s.!?:])\n(?=[a-zà-ÿ])", " ", bare)
     out = []
@@ -84,10 +89,10 @@ class Model:
 
     def evidence(self, words: list[str]) -> dict[int, tuple[float, frozenset[str]]]:
         """Of each subject that a rule finds in a sentence: the confidence of the surest rule, and its items."""
-        have = set(items_of(words))
+        have = {*words, *map(" ".join, zip(words, words[1:]))}
         got: dict[int, tuple[float, frozenset[str]]] = {}
-        for item in have:
-            for need, subject, sure in self.rules.get(item, ()):
+        for item in have & self.rules.keys():
+            for need, subject, sure in self.rules[item]:
                 if need <= have and sure > got.get(subject, (0.0,))[0]:
                     got[subject] = (sure, need)
         return got
@@ -120,7 +125,9 @@ class Model:
         return total
 
     def subjects(self, text: str | None) -> list[int]:
-        total = self.scores(text)
+        return self.chosen(self.scores(text))
+
+    def chosen(self, total: dict[int, float]) -> list[int]:
         if not total:
             return []
         top = max(total.values())
@@ -140,6 +147,12 @@ def _sentence_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "sentence", "words", "labels"])
 
 
+def _item_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = [(d, y, i) for d, w, y in zip(f["doc_id"], f["words"], f["labels"], strict=True) for i in items_of(list(w))]
+        yield pd.DataFrame(rows, columns=["doc_id", "labels", "item"])
+
+
 def prune(rules: dict[tuple[frozenset[str], int], float]) -> dict[tuple[frozenset[str], int], float]:
     """Rules without those that a more general rule for the same subject makes redundant."""
     out: dict[tuple[frozenset[str], int], float] = {}
@@ -173,7 +186,9 @@ def _frequent(transactions: DataFrame, least: int) -> list[tuple[frozenset[str],
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The rules of a bounded sample of labelled documents."""
     per = labels.where("doc_id is not null and subject_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject_id")).alias("labels"))
-    per = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    n = per.count()
+    if n > sample:  # a share by hash: about `sample` are expected
+        per = per.where(F.xxhash64("doc_id") < int(-(1 << 63) + (1 << 64) * (sample / n)))
     rows = documents.where("length(trim(text)) > 0").select("doc_id", "text").join(per, "doc_id").select("doc_id", "text", "labels")
     told = rows.mapInPandas(_sentence_frames, "doc_id long, sentence int, words array<string>, labels array<int>").persist()
     try:
@@ -184,7 +199,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
 
 def _mine(told: DataFrame) -> Model:
     # items per document and class; the rows are those of a bounded sample
-    items = told.select("doc_id", "labels", F.explode(F.udf(items_of, "array<string>")("words")).alias("item")).distinct()
+    items = told.mapInPandas(_item_frames, "doc_id long, labels array<int>, item string").distinct()
     n_docs = told.select("doc_id").distinct().count()
     if not n_docs:
         return Model()
@@ -198,11 +213,18 @@ def _mine(told: DataFrame) -> Model:
     singles = [(r["item"], r["k"], r["n"], r["m"]) for r in good.collect()]
     informative = {r[0] for r in singles}
     # sentences as transactions of informative items; a word inside an informative pair is told by the pair
-    keep = F.udf(lambda w: reduced(list(w), informative), "array<string>")
-    sets = told.select("doc_id", "labels", keep("words").alias("found")).where("size(found) > 0")
+    def informative_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(y, got) for w, y in zip(f["words"], f["labels"], strict=True) if (got := reduced(list(w), informative))]
+            yield pd.DataFrame(rows, columns=["labels", "found"])
+
+    sets = told.mapInPandas(informative_frames, "labels array<int>, found array<string>").persist()
     classed = sets.select(F.explode("labels").alias("k"), "found").select(F.concat("found", F.array(F.concat(F.lit("\x00"), F.col("k").cast("string")))).alias("items"))
-    with_k = _frequent(classed, least)
-    without = dict(_frequent(sets.select(F.col("found").alias("items")), least))
+    try:
+        with_k = _frequent(classed, least)
+        without = dict(_frequent(sets.select(F.col("found").alias("items")), least))
+    finally:
+        sets.unpersist()
     # rules of one item are counted by documents, as they must hold for all of a text
     hit = {(frozenset((i,)), k): (m + prior.get(k, 0.0)) / (n + 1.0) for i, k, n, m in singles}
     counts = {(frozenset((i,)), k): n for i, k, n, m in singles}
@@ -277,20 +299,11 @@ def _wordings(told: DataFrame, model: Model) -> dict[str, float]:
         rate = found.agg(F.avg(F.col("hit").cast("double"))).first()[0]
         if rate is None:
             return {}
-        per = found.select(F.explode("pairs").alias("pair"), "hit").groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("m"))
-        bad = {r["pair"] for r in per.where((F.col("n") >= LEAST) & (F.col("m") / F.col("n") < 0.4 * rate)).select("pair").collect()}
-        if not bad:
-            return {}
-        keep = F.udf(lambda p: [i for i in dict.fromkeys(p) if i in bad][:12], "array<string>")
-        sets = found.select(keep("pairs").alias("p"), "hit").where("size(p) > 0")
-        freq = dict(_frequent(sets.select(F.concat("p", F.array(F.when(F.col("hit"), "\x00hit").otherwise("\x00miss"))).alias("items")), LEAST))
-        out: dict[str, float] = {}
-        for s, miss in freq.items():
-            if "\x00miss" in s and len(s) == 2:
-                (pair,) = s - {"\x00miss"}
-                hits = freq.get(frozenset((pair, "\x00hit")), 0)
-                out[pair] = min(1.0, (hits + rate) / (miss + hits + 1.0) / rate)
-        return {k: v for k, v in out.items() if v < 0.5}
+        # every pair of a sentence counts once; kept are those that are hardly ever about the document
+        per = found.select(F.explode(F.array_distinct("pairs")).alias("pair"), "hit").groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("m"))
+        worth = F.least(F.lit(1.0), (F.col("m") + rate) / (F.col("n") + 1.0) / rate)
+        bad = per.where((F.col("n") >= LEAST) & (F.col("m") / F.col("n") < 0.4 * rate)).select("pair", worth.alias("w")).where("w < 0.5")
+        return {r["pair"]: r["w"] for r in bad.collect()}
     finally:
         found.unpersist()
 
@@ -298,7 +311,7 @@ def _wordings(told: DataFrame, model: Model) -> dict[str, float]:
 def _assign(model: Model):
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(d, k, round(s[k], 6)) for d, t in zip(f["doc_id"], f["text"], strict=True) if (s := model.scores(t)) for k in model.subjects(t)]
+            rows = [(d, k, round(s[k], 6)) for d, t in zip(f["doc_id"], f["text"], strict=True) if (s := model.scores(t)) for k in model.chosen(s)]
             yield pd.DataFrame(rows, columns=["doc_id", "subject_id", "score"])
 
     return assign
