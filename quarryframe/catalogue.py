@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import queries_core, queries_general
+from . import queries_core, queries_facts, queries_general
+
+_PARTS = (queries_core, queries_facts, queries_general)
 
 
 def queries():
-    return queries_core.QUERIES | queries_general.QUERIES
+    return {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 
 
 def oracle_sql():
-    return queries_core.SQL | queries_general.SQL
+    return {k: v for p in _PARTS for k, v in p.SQL.items()}

@@ -301,8 +301,10 @@ def _wordings(told: DataFrame, model: Model) -> dict[str, float]:
             return {}
         # every pair of a sentence counts once; kept are those that are hardly ever about the document
         per = found.select(F.explode(F.array_distinct("pairs")).alias("pair"), "hit").groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("m"))
-        worth = F.least(F.lit(1.0), (F.col("m") + rate) / (F.col("n") + 1.0) / rate)
-        bad = per.where((F.col("n") >= LEAST) & (F.col("m") / F.col("n") < 0.4 * rate)).select("pair", worth.alias("w")).where("w < 0.5")
+        # counts under LEAST are chance: so few hits count as none, so few misses tell nothing
+        miss, hits = F.col("n") - F.col("m"), F.when(F.col("m") >= LEAST, F.col("m")).otherwise(0)
+        worth = F.least(F.lit(1.0), (hits + rate) / (miss + hits + 1.0) / rate)
+        bad = per.where((miss >= LEAST) & (F.col("m") / F.col("n") < 0.4 * rate)).select("pair", worth.alias("w")).where("w < 0.5")
         return {r["pair"]: r["w"] for r in bad.collect()}
     finally:
         found.unpersist()
