@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_core, queries_facts, queries_general
+from . import queries_core, queries_facts, queries_general, queries_serving
 
-_PARTS = (queries_core, queries_facts, queries_general)
+_PARTS = (queries_core, queries_facts, queries_general, queries_serving)
 
 
 def queries():
