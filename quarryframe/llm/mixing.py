@@ -1,11 +1,11 @@
 """Mixing sources to target weights.
 
 A naive Bayes classifier, counted over all texts whose source is in the table of targets, gives every document a soft
-membership of the sources; a document's own source is trusted with weight ``TRUST``, the
-classifier with the rest, so that shares by source and by domain hardly differ. Nonnegative
-rates, how often each document is taken in expectation, are then fitted by projected gradient descent on the squared errors
-of the sources' expected token totals: each step is one pass over a narrow table that replays the few gradients so far and
-adds up one total per source, so nothing but those totals reaches the driver. The total size is the greatest for which every
+membership of the domains that the sources stand for. Nonnegative rates, how often each document is taken in expectation, are
+fitted by projected gradient descent on two kinds of squared errors: those of the domains' expected token totals by soft membership,
+which move rates within a source towards texts of the domains that are short, and those of the sources' own totals, which must meet
+their targets and have the last word. The totals are those of all rows: each step is one pass over a narrow table that replays the few gradients so far and
+adds up one total per source and domain, so nothing but those totals reaches the driver. The total size is the greatest for which every
 source can reach its share within its cap. Rates become whole numbers of copies by systematic rounding in bounded buckets.
 
 Defined results: sources without a target are left out, and null sources; a target without documents or with weight zero gets
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .encode import TOKENIZERS, vocabulary
 
-#: Weight of a document's own source in its membership.
-TRUST = 0.999
+#: Steps towards the domains' totals, and how far each goes.
+SOFT, MILD = 6, 0.5
 #: Hashed word features of the classifier.
 FEATURES = 1 << 13
 #: Most gradient steps, and the relative error of a share at which to stop.
@@ -90,8 +90,9 @@ def _measure(model: Classifier, tokenizers: str):
         for f in frames:
             q, n = [], []
             for s, t in zip(f["source"], f["text"], strict=True):
-                p = (1 - TRUST) * model.posterior(t) if t else np.zeros(k)
-                p[at[s]] += 1 - p.sum()
+                p = np.zeros(2 * k)  # soft membership of each domain, then the source itself
+                p[:k] = model.posterior(t) if t else 0.0
+                p[k + at[s]] = 1.0
                 q.append(p)
                 n.append(len(enc.encode_ordinary(t)) if t else 0)
             yield f[["doc_id", "source"]].assign(tokens=n, member=q)
@@ -110,40 +111,48 @@ def _replay(q: np.ndarray, cap: np.ndarray, start: np.ndarray, gradients: list[n
 def fit(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The start and the steps of the descent; rows have tokens, member and cap."""
     k = len(weights)
+    both = 2 * k
 
     def totals(start: np.ndarray, gradients: list[np.ndarray]):
         def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            s, a, c = np.zeros(k), np.zeros(k), np.zeros(k)
+            s, a, c = np.zeros(both), np.zeros(both), np.zeros(both)
             for f in frames:
                 if len(f):
                     q, n, cap = np.stack(f["member"].to_numpy()), f["tokens"].to_numpy(dtype=float), f["cap"].to_numpy(dtype=float)
                     s += (_replay(q, cap, start, gradients) * n) @ q
                     a += n @ q
                     c += (cap * n) @ q
-            yield pd.DataFrame({"k": np.arange(k), "s": s, "a": a, "c": c})
+            yield pd.DataFrame({"k": np.arange(both), "s": s, "a": a, "c": c})
 
         got = rows.select("tokens", "member", "cap").mapInPandas(part, "k int, s double, a double, c double").groupBy("k").agg(F.sum("s").alias("s"), F.sum("a").alias("a"), F.sum("c").alias("c")).collect()
-        out = np.zeros((3, k))
+        out = np.zeros((3, both))
         for r in got:
             out[:, r["k"]] = r["s"], r["a"], r["c"]
         return out
 
-    _, available, most = totals(np.zeros(k), [])
+    _, available, most = totals(np.zeros(both), [])
+    most = most[k:]
     w = np.where((most > 0) & (weights > 0), weights, 0.0)
     if not w.sum():
-        return np.zeros(k), []
+        return np.zeros(both), []
     w = w / w.sum()
     size = np.min(most[w > 0] / w[w > 0])  # the greatest total at which every share can be reached
-    goal = size * w
+    goal = np.concatenate([size * w, size * w])
     start = np.where(available > 0, goal / np.maximum(available, 1e-9), 0.0)
+    start[:k] = 0.0
     gradients: list[np.ndarray] = []
-    for _ in range(STEPS):
-        got = totals(start, gradients)[0]
-        error = got - goal
-        if np.abs(error).max() <= CLOSE * size:
+    least = np.inf
+    for step in range(STEPS):
+        error = totals(start, gradients)[0] - goal
+        far = float(np.square(error[:k]).sum())
+        # towards the domains while that helps; the sources' own totals are corrected in every step, and alone in the last ones
+        soft = MILD if step < SOFT and far < 0.98 * least else 0.0
+        least = min(least, far)
+        if not soft and np.abs(error[k:]).max() <= CLOSE * size:
             break
-        # the gradient of the squared errors, scaled by what a source has
-        gradients.append(error / np.maximum(available, 1e-9))
+        if not soft:
+            least = -np.inf
+        gradients.append(np.concatenate([soft * error[:k], error[k:]]) / np.maximum(available, 1e-9))
     return start, gradients
 
 
@@ -172,7 +181,7 @@ def _round(f: pd.DataFrame) -> pd.DataFrame:
 def mixture(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(doc_id, source, tokens, rate, copies): how often each document of a source with a target is taken."""
     # one row a source: the table of targets doesn't grow with the data
-    goals = {r["source"]: (r["w"], r["m"]) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("m")).limit(10_000).collect()}
+    goals = {r["source"]: (r["w"], r["m"]) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("m")).collect()}
     names = sorted(goals)
     spark = documents.sparkSession
     empty = spark.createDataFrame([], "doc_id long, source string, tokens long, rate double, copies int")
