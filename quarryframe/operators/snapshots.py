@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: A key starts a chunk if the low bits of its hash are zero: chunks hold 64 keys on average.
 CHUNK_KEYS = 64
 
@@ -108,6 +110,7 @@ def snapshot_changes(manifests: DataFrame, deliveries: DataFrame, chunk_keys: in
     )
     kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(~F.col("n.sha").eqNullSafe(F.col("o.sha")), "modified")
     rows = versions.select("repo_id", F.col("pair").alias("snapshot_no"), kind.alias("kind"), "path", F.coalesce("n.sha", "o.sha").alias("sha")).where("kind is not null")
+    rows = cut(rows)  # only what changed; three branches read it, and chunks are compared once
     moved = rows.where("kind <> 'modified'")
     # one row per hash: how many paths it was added under, and how often it was removed
     by_hash = moved.where("sha is not null").groupBy("repo_id", "snapshot_no", "sha").agg(
