@@ -53,6 +53,12 @@ _GEN_DIRS = frozenset("generated __generated__ generated-sources generated_sourc
 _VERSIONED = re.compile(r"^@?[a-z][\w.-]*(?:@|-v?)\d+\.\d+(?:\.\d+)?[\w.-]*$", re.I)
 
 
+#: A table of literals is data from so many characters; shorter ones are what people write in code.
+LITERALS = 600
+#: Shorter texts aren't told to be copies of each other: they are too easily written twice.
+SHORTEST_COPY = 200
+
+
 def head_comments(text: str) -> str:
     """The comments at the head of a text, however long, up to code that isn't a package or import line."""
     out, close = [], ""
@@ -112,18 +118,19 @@ def evidence(path: str, text: str | None) -> list[float]:
     n = len(text)
     lines = [x for x in text.split("\n") if x.strip()]
     prose = low.endswith((".md", ".rst", ".txt", ".adoc", ".html"))
-    if not prose and n > 400 and lines:
+    if not prose and n > 120 and lines:
         code = sorted((len(x) for x in lines), reverse=True)
         # long lines hold most of the text, and hardly any of it is white space
-        in_long = sum(x for x in code if x > 250) / n
+        in_long = sum(x for x in code if x > min(250, n / 2)) / n
         blank = sum(text.count(c) for c in " \t\n") / n
-        if in_long > 0.7 and low.endswith((".js", ".mjs", ".cjs", ".css", ".ts", ".jsx", ".tsx", ".html", ".java", ".kt", ".py")):
+        # of a short text, nearly all that people put between words must be gone
+        if in_long > 0.7 and (n > 400 or blank < 0.05) and low.endswith((".js", ".mjs", ".cjs", ".css", ".ts", ".jsx", ".tsx", ".html", ".java", ".kt", ".py")):
             u[2] += 5.0 + (CLEAR if blank < 0.14 else 2.0)
-    if not prose and lines and n > 600:
+    if not prose and lines and n > LITERALS:
         literal = sum(len(x.strip()) for x in lines if _LITERAL_ROW.fullmatch(x.strip())) / sum(len(x.strip()) for x in lines)
         if literal > 0.8:
             u[4] += 5.0 + CLEAR
-        elif literal > 0.6 and n > 4000:
+        elif literal > 0.6 and n > 6 * LITERALS:
             u[4] += 5.0 + 3.0
     return u
 
@@ -149,7 +156,7 @@ def _evidence_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [evidence(p, t) for p, t in zip(f["path"], f["content"], strict=True)]
         out = f[["source_id", "repo_id", "path", "classification", "ingested_at"]].copy()
         out["u"] = rows
-        out["copy"] = pd.array([body_key(t) if t and len(t) >= 200 else None for t in f["content"]], dtype="Int64")
+        out["copy"] = pd.array([body_key(t) if t and len(t) >= SHORTEST_COPY else None for t in f["content"]], dtype="Int64")
         yield out
 
 
@@ -194,7 +201,9 @@ def files_with_evidence(sources: DataFrame) -> DataFrame:
     # third-party evidence of a text: its licence head or any of its places
     chain = F.exists(F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda k: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), k), "/")), lambda d: d.rlike(_VENDOR_PLACE))
     shared = last.where("copy is not null").groupBy("copy").agg(F.count("*").alias("n"), F.max((F.col("u")[3] > 0) | chain).alias("foreign")).where("n > 1 and foreign").select("copy", "foreign")
-    last = last.join(shared, "copy", "left")
+    # texts without a copy key are spread by their own ids instead of meeting in one task
+    key, has = F.coalesce("copy", F.xxhash64("source_id")), F.col("copy").isNotNull()
+    last = last.withColumns({"k": key, "has": has}).join(shared.select(F.col("copy").alias("k"), F.lit(True).alias("has"), "foreign"), ["k", "has"], "left")
     u = _plus(F.col("u"), F.when(F.col("foreign"), F.array(*[F.lit(CLEAR if i == 3 else 0.0) for i in range(_N)])))
     return last.select("source_id", "repo_id", "dir", "path", "classification", u.alias("u"))
 
