@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, labels
-from .operators import coverage, current, discover, evaluation, extract, graph, history, linking, materialize, retrieval
+from .operators import coverage, current, discover, evaluation, extract, graph, history, linking, materialize, ranking, retrieval
 from .session import WHITE_SPACE, id_key, table
 
 QUERIES = {}
@@ -662,10 +662,8 @@ _CASES = "cases as (select label as \"case\", rank() over (partition by label or
 
 
 def _cases(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = retrieval.with_confidence(t.nodes, t.facts).select(F.col("label").alias("case"), "entity_id", "confidence", F.col("kind").isin("symbol:method", "symbol:function").alias("relevant"))
-    return rows.withColumn("rank", F.rank().over(Window.partitionBy("case").orderBy(F.desc("confidence"), "entity_id")))
+    return ranking.ranks(rows, "case", [F.desc("confidence"), F.col("entity_id")])
 
 
 @query(W(_NODES, _FACTS, _CONF, _CASES, 'per as (select "case", min(rk) filter (relevant) first, count(*) filter (relevant) al, count(*) filter (relevant and rk <= 5) top, sum(1 / log2(rk + 1.0)) filter (relevant) dcg from cases group by 1)') + "select count(*)::bigint cases, round(avg(coalesce(1.0 / first, 0.0)), 6) mrr, round(avg(coalesce((first = 1)::int::double, 0.0)), 6) precision_at_1, round(avg(coalesce(case when al > 0 then top::double / al end, 0.0)), 6) recall_at_5, round(avg(coalesce(case when al > 0 then dcg / list_sum(list_transform(generate_series(1, al), lambda k: 1 / log2(k + 1.0))) end, 0.0)), 6) ndcg from per")
@@ -689,15 +687,10 @@ def context_limits(spark, d):
 
 @query(W(_NODES) + "select * from (select entity_id, repo_id, path, (row_number() over (order by repo_id, path, entity_id) - 1)::bigint as \"position\" from nodes) where entity_id in (select entity_id from nodes where kind = 'route') ")
 def rank_position_seek(spark, d):
-    """SRT-14: how many rows come before each route in the listing order: counts per repository first, then a window inside each."""
-    from pyspark.sql import Window
-
+    """SRT-14: how many rows come before each route in the listing order."""
     n = Tables(spark, d).nodes.select("entity_id", "repo_id", "path", "kind")
-    per = n.groupBy("repo_id").agg(F.count("*").alias("c"))
-    before = per.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("repo_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("repo_id").orderBy("path", "entity_id")
-    rows = n.withColumn("r", F.row_number().over(w)).where("kind = 'route'").join(before, "repo_id")
-    return rows.select("entity_id", "repo_id", "path", (F.col("before") + F.col("r") - 1).cast("long").alias("position"))
+    rows = ranking.positions(n, [F.col("repo_id"), F.col("path"), F.col("entity_id")])
+    return rows.where("kind = 'route'").select("entity_id", "repo_id", "path", "position")
 
 
 @query(W(_NODES) + "select kind, language, count(*)::bigint n from nodes where kind in (select kind from nodes where repo_id = 'storefront-core' intersect select kind from nodes where repo_id <> 'storefront-core') group by 1, 2")
