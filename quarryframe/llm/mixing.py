@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,17 +115,17 @@ def fit(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarr
     both = 2 * k
 
     def totals(start: np.ndarray, gradients: list[np.ndarray]):
-        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, a, c = np.zeros(both), np.zeros(both), np.zeros(both)
-            for f in frames:
-                if len(f):
-                    q, n, cap = np.stack(f["member"].to_numpy()), f["tokens"].to_numpy(dtype=float), f["cap"].to_numpy(dtype=float)
+            for b in batches:
+                if b.num_rows:
+                    n, q, cap = b.column(0).to_numpy().astype(float), b.column(1).flatten().to_numpy().reshape(-1, both), b.column(2).to_numpy().astype(float)
                     s += (_replay(q, cap, start, gradients) * n) @ q
                     a += n @ q
                     c += (cap * n) @ q
-            yield pd.DataFrame({"k": np.arange(both), "s": s, "a": a, "c": c})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(both, dtype=np.int32)), pa.array(s), pa.array(a), pa.array(c)], ["k", "s", "a", "c"])
 
-        got = rows.select("tokens", "member", "cap").mapInPandas(part, "k int, s double, a double, c double").groupBy("k").agg(F.sum("s").alias("s"), F.sum("a").alias("a"), F.sum("c").alias("c")).collect()
+        got = rows.select("tokens", "member", "cap").mapInArrow(part, "k int, s double, a double, c double").groupBy("k").agg(F.sum("s").alias("s"), F.sum("a").alias("a"), F.sum("c").alias("c")).collect()
         out = np.zeros((3, both))
         for r in got:
             out[:, r["k"]] = r["s"], r["a"], r["c"]
