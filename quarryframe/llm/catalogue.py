@@ -29,13 +29,21 @@ def oracle_sql():
     return dict(SQL)
 
 
-@query()
+# every run of 300 characters of the last texts: brute force over the whole table
+_RUNS = """with f as (select source_id, content from (select source_id, content, row_number() over (partition by source_id order by ingested_at desc, content desc) n from source_files where length(content) >= 300) where n = 1),
+g as (select source_id, p, md5(substr(content, p, 300)) r from (select source_id, content, unnest(range(1, length(content) - 298)) p from f)),
+k as (select r from g group by r having min(source_id) <> max(source_id)), """
+
+
+@query(_RUNS + "d as (select distinct g.source_id, g.r from g join k using (r)) select distinct a.source_id source_id_a, b.source_id source_id_b from d a join d b on a.r = b.r and a.source_id < b.source_id")
 def p6_found(spark, d):
     """Pairs of records that share a run of at least 300 characters."""
     return spans.shared_pairs(table(spark, d, "source_files"))
 
 
-@query()
+@query(_RUNS + """m as (select g.source_id, p, coalesce(lead(p) over (partition by g.source_id order by p), p + 300) q from g join k using (r)), c as (select source_id, sum(least(300, q - p))::bigint shared_chars from m group by 1),
+a as (select source_id, arg_max(coalesce(length(content), 0), (content is not null, ingested_at))::bigint chars from source_files where source_id is not null group by 1)
+select a.source_id, chars, coalesce(shared_chars, 0)::bigint shared_chars, round(coalesce(shared_chars, 0) / nullif(chars, 0), 6) as "share" from a left join c using (source_id)""")
 def p6_shares(spark, d):
     """The share of each record that is found elsewhere."""
     return spans.shared_shares(table(spark, d, "source_files"))
