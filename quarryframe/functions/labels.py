@@ -10,6 +10,7 @@ LANGUAGES = {
     ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "jsx", ".mjs": "javascript", ".cjs": "javascript", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".py": "python",
     ".md": "documentation", ".adoc": "documentation", ".rst": "documentation", ".txt": "documentation", ".json": "configuration", ".yaml": "configuration", ".yml": "configuration", ".properties": "configuration", ".xml": "configuration", ".toml": "configuration", ".gradle": "configuration",
 }
+# Languages with structure, predicates of providers and of consumers, methods, kinds of identities and of links (fixed values).
 STRUCTURAL = ("java", "kotlin", "typescript", "tsx", "javascript", "jsx")
 PROVIDERS = ("PUBLISHES_EVENT", "PRODUCES_TOPIC", "SENDS_QUEUE", "DEFINES_CONFIGURATION", "DECLARES_EFFECTIVE_ENDPOINT", "DECLARES_MODULE")
 CONSUMERS = ("CONSUMES_EVENT", "LISTENS_EVENT", "SUBSCRIBES_EVENT", "CONSUMES_TOPIC", "LISTENS_QUEUE", "REFERENCES_CONFIGURATION", "BINDS_CONFIGURATION", "INVOKES_API", "DEPENDENCY_DECLARATION")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 
-# (languages, pattern of the whole match, group of the target, predicate, confidence, prefix of the target)
+# (languages, pattern, group of the target, predicate, confidence); predicates, confidences and the patterns of routes, elements, environment
+# names and placeholders are fixed values
 _JS, _JVM = ("typescript", "tsx", "javascript", "jsx"), ("java", "kotlin")
 RULES: tuple[tuple[tuple[str, ...], str, int, str, float], ...] = (
     (_JS, r"""^\s*import\b[^'"]*['"]([^'"]+)['"]""", 1, "IMPORTS", 1.0),

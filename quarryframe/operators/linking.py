@@ -1,7 +1,7 @@
 """Cross-repository links: claims' objects normalised to identities, providers joined to consumers of other repositories.
 
-Labels that name no identity are left out; an identity is told once per repository, entity and role (its surest claim), so a hot
-identity meets as few rows as it has places; nulls never link.
+Labels that name no identity are left out; an identity is told once per repository, entity and role (its surest claim). Every provider
+of an identity is linked to every consumer in another repository, since those links are the result; nulls never link.
 """
 
 from __future__ import annotations

@@ -25,12 +25,14 @@ TERMS = {
     "cause": ("cause", "why", "error", "exception", "failure", "log"),
     "update": ("where update", "where is update", "change", "update"),
 }
+# Words of a negation and what it is about (fixed values).
 NEGATION = (("not found", "does not", "doesn't", "no caller", "no consumer", "any "), ("exist", "found", "caller", "consumer", "reference", "route"))
+# Words that name a kind of slice (fixed values).
 SLICE_TERMS = {
     "repository_service_overview": ("repository overview", "service overview"), "service_boundary": ("service boundary",), "contract_api_surface": ("contract surface", "api surface"), "event_topic_flow": ("event flow", "topic flow"), "http_route_client_flow": ("http flow", "route flow", "client flow"),
     "configuration_boundary": ("configuration boundary",), "dependency_boundary": ("dependency boundary",), "test_to_feature": ("test to feature", "test-to-feature"), "entity_neighbourhood": ("entity neighbourhood", "entity neighborhood"),
 }
-# Precedence of families: (features of which one must hold, family, predicates to follow, direction, depth or None for the budget's).
+# Precedence of families (fixed values): (features of which one must hold, family, predicates to follow, direction, depth or None for the budget's).
 FAMILIES: tuple[tuple[tuple[str, ...], str, tuple[str, ...] | None, str, int | None], ...] = (
     (("negative",), "negative_verification", None, "", None),
     (("impact",), "impact", (), "in", None),
@@ -41,9 +43,10 @@ FAMILIES: tuple[tuple[tuple[str, ...], str, tuple[str, ...] | None, str, int | N
     (("configuration",), "configuration_lookup", ("DEFINES_CONFIGURATION", "REFERENCES_CONFIGURATION", "BINDS_CONFIGURATION"), "both", None),
     (("update",), "locate_change", None, "", None),
 )
+# Features to intents, the first that applies (fixed values).
 INTENTS = (("negative", "negative_verification"), ("impact", "impact"), ("consumer", "consumers"), ("caller", "producers"), ("cause", "explain_cause"), ("event", "event_trace"), ("route", "route_trace"), ("configuration", "configuration_lookup"), ("update", "references"))
 GRAPH_INTENTS = frozenset("relationship_traversal impact producers consumers event_trace route_trace configuration_lookup references explain_cause".split())
-# Stages of an intent: (strategy, reason).
+# Stages of an intent (fixed values): (strategy, reason).
 STAGES = {
     "text_search": (("lexical", "explicit_text_search"),), "path_finding": (("path", "explicit_path_finding"),), "architecture_slice": (("exact", "resolve_slice_anchor"), ("architecture_slice", "explicit_architecture_slice")),
     "negative_verification": (("exact", "negative_verification_exact"), ("lexical", "exact_insufficient"), ("graph", "relationship_scope_requires_graph")), "lookup": (("exact", "cheapest_unique_identifier_route"), ("lexical", "exact_absent_or_ambiguous")),
@@ -52,6 +55,7 @@ STAGES = {
 STRATEGIES = {"text_search": "lexical", "path_finding": "path", "architecture_slice": "architecture_slice", "negative_verification": "exact", "lookup": "exact", **{i: "graph" for i in GRAPH_INTENTS}}
 PRECEDENCE = ("exact", "lexical", "graph", "structural", "path", "vector")
 
+# What looks like an identifier and like a path (fixed values).
 _NAME = re.compile(r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\b", re.A)
 _PATH = re.compile(r"(?:^|\s)(?:[\w.-]+/)+[\w.-]+|\B/[\w{}./-]+", re.A)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -35,7 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(?:\[|$)", sc.master):  # a cluster, be it of local processes
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"quarryframe-{sc.applicationId}")
     if not sc.getCheckpointDir():
