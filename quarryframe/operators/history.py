@@ -116,3 +116,30 @@ def source_lines(files: DataFrame, spans: DataFrame, before: int = 2, after: int
     lo = F.greatest(F.lit(1), F.col("start_line") - before)
     n = F.least(F.col("end_line") + after, F.size("ls")) - lo + 1
     return spans.join(f, ["generation_id", "path"]).where(lo <= F.size("ls")).select(*spans.columns, lo.alias("first_line"), F.least(n, F.lit(most)).alias("lines"), F.array_join(F.slice("ls", lo, F.greatest(F.lit(0), F.least(n, F.lit(most)))), "\n").alias("excerpt"))
+
+
+def anchors(files: DataFrame, entities: DataFrame, claims: DataFrame, crossing: DataFrame) -> DataFrame:
+    """(landmark_kind, repo_id, label, role, confidence, evidence_id): boundaries and owners of repositories (an owner isn't known unless it
+    was told), paths that matter by their name, class or claims, and what links repositories. What has no evidence is dropped, but for
+    links, whose evidence is theirs."""
+    e = entities.where("kind = 'file'").select("generation_id", "path", id_key("evidence_id").alias("evidence_id")).where("evidence_id is not null")
+    held = files.select("repo_id", "generation_id", "path", "classification").distinct().join(e, ["generation_id", "path"])
+    one = lambda kind, label, role, conf: [F.lit(kind).alias("landmark_kind"), "repo_id", label.alias("label"), role.alias("role"), conf.cast("double").alias("confidence")]
+    least = F.min("evidence_id").alias("evidence_id")
+    repos = held.groupBy("repo_id").agg(least)
+    boundary = repos.select(*one("architecture_landmark", F.concat("repo_id", F.lit(" repository boundary")), F.lit(""), F.lit(1)), "evidence_id")
+    owner = repos.select(*one("ownership_fact", F.concat("repo_id", F.lit(" ownership")), F.lit("unknown"), F.lit(1)), "evidence_id")
+    low = F.lower("path")
+    ends = low.endswith("package.json") | low.endswith("build.gradle") | low.endswith("pom.xml") | low.endswith("settings.gradle")
+    test = low.contains("/test/") | low.endswith("_test.go") | low.contains(".test.") | low.contains(".spec.")
+    named = held.withColumn("role", F.when(F.col("classification") == "configuration", "configuration").when(ends, "manifest").when(test, "test")).where("role is not null").groupBy("repo_id", "path", "role").agg(least)
+    named = named.select(*one("important_path", F.col("path"), F.col("role"), F.lit(0.85)), "evidence_id")
+    p = F.col("predicate")
+    role = F.when(p.contains("ENDPOINT") | (p == "DECLARES_UI_ROUTE"), "route_or_controller").when(p.contains("EVENT") | p.contains("TOPIC") | p.contains("QUEUE"), "listener_or_event").when(p.contains("CONFIGURATION"), "configuration").when(p.isin("DEPENDENCY_DECLARATION", "DECLARES_MODULE"), "manifest")
+    s = entities.select(F.col("entity_id").alias("subject_id"), "repo_id", "path")
+    told = claims.select("subject_id", "object_id", role.alias("role"), "confidence", id_key("evidence_id").alias("evidence_id")).where("role is not null and evidence_id is not null").join(s, "subject_id").where("path <> ''")
+    told = told.join(entities.select(F.col("entity_id").alias("object_id")), "object_id", "left_semi").groupBy("repo_id", "path", "role").agg(F.max("confidence").alias("c"), least)
+    told = told.select(*one("important_path", F.col("path"), F.col("role"), F.col("c")), "evidence_id")
+    links = crossing.groupBy("subject_repo", "predicate", "object_repo").agg(F.max("confidence").alias("c")).withColumnRenamed("subject_repo", "repo_id")
+    links = links.select(*one("estate_topology_fact", F.concat_ws(" ", "repo_id", "predicate", "object_repo"), F.lit(""), F.col("c")), F.lit("").alias("evidence_id"))
+    return boundary.unionByName(owner).unionByName(named).unionByName(told).unionByName(links)

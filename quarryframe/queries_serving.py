@@ -324,3 +324,18 @@ def wake_reconcile(spark, d):
     i = t.files.select("repo_id", "path").distinct().join(last.select("repo_id"), "repo_id", "left_semi").withColumn("i", F.lit(1))
     both = m.join(i, ["repo_id", "path"], "full")
     return both.groupBy("repo_id").agg(F.count(F.when(F.col("i").isNull(), 1)).alias("not_indexed"), F.count(F.when(F.col("m").isNull(), 1)).alias("not_listed"))
+
+
+@query(
+    W(_NODES, _FACTS, _FILES, f"x as ({CORE['cross_link']})",
+      f"held as (select distinct f.repo_id, f.path, f.classification, nullif({_T % 'n.evidence_id'}, '') ev from files f join nodes n on n.generation_id = f.generation_id and n.path = f.path and n.kind = 'file' where nullif({_T % 'n.evidence_id'}, '') is not null)",
+      "named as (select repo_id, path, ev, case when classification = 'configuration' then 'configuration' when regexp_matches(lower(path), '(package\\.json|build\\.gradle|pom\\.xml|settings\\.gradle)$') then 'manifest' when regexp_matches(lower(path), '/test/|_test\\.go$|\\.test\\.|\\.spec\\.') then 'test' end r from held)",
+      "told as (select s.repo_id, s.path, f.confidence, " + f"nullif({_T % 'f.evidence_id'}, '') ev, " + "case when contains(predicate, 'ENDPOINT') or predicate = 'DECLARES_UI_ROUTE' then 'route_or_controller' when regexp_matches(predicate, 'EVENT|TOPIC|QUEUE') then 'listener_or_event' when contains(predicate, 'CONFIGURATION') then 'configuration' when predicate in ('DEPENDENCY_DECLARATION', 'DECLARES_MODULE') then 'manifest' end r from facts f join nodes s on s.entity_id = f.subject_id where f.object_id in (select entity_id from nodes) and s.path <> '')")
+    + """select 'architecture_landmark' landmark_kind, repo_id, repo_id || ' repository boundary' as "label", '' as "role", 1.0::double confidence, min(ev) evidence_id from held group by repo_id
+ union all select 'ownership_fact', repo_id, repo_id || ' ownership', 'unknown', 1.0, min(ev) from held group by repo_id union all select 'important_path', repo_id, path, r, 0.85, min(ev) from named where r is not null group by repo_id, path, r
+ union all select 'important_path', repo_id, path, r, max(confidence), min(ev) from told where r is not null and ev is not null group by repo_id, path, r
+ union all select 'estate_topology_fact', subject_repo, subject_repo || ' ' || predicate || ' ' || object_repo, '', max(confidence), '' from x group by subject_repo, predicate, object_repo""")
+def landmark_anchors(spark, d):
+    """IR-09: boundaries, owners, important paths and links between repositories, each with its least evidence."""
+    t = Tables(spark, d)
+    return history.anchors(t.files, t.nodes, t.facts, linking.links(linking.memberships(t.facts, t.nodes)))
