@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,7 +36,10 @@ def changes_per_batch(write: Callable[[DataFrame, int], None], state: Callable[[
             old = before.join(seen, "repo_id", "left_semi").select("repo_id", "path", F.col("sha256").alias("was"))
             j = old.join(now, ["repo_id", "path"], "full")
             made, gone = j.where("was is null"), j.where("sha256 is null")
-            pairs = made.groupBy("repo_id", F.col("sha256").alias("h")).agg(F.min("path").alias("to")).join(gone.groupBy("repo_id", F.col("was").alias("h")).agg(F.min("path").alias("path")), ["repo_id", "h"])
+            # of the paths of a hash the first that is gone pairs with the first that is new, the second with the second
+            nth = F.row_number().over(Window.partitionBy("repo_id", "h").orderBy("path")).alias("n")
+            new_ = made.select("repo_id", F.col("sha256").alias("h"), "path").select("repo_id", "h", F.col("path").alias("to"), nth)
+            pairs = new_.join(gone.select("repo_id", F.col("was").alias("h"), "path").select("repo_id", "h", "path", nth), ["repo_id", "h", "n"])
             moved = pairs.select("repo_id", "path", "to")
             rest = j.where("was is null or sha256 is null or was <> sha256").join(moved.select("repo_id", "path"), ["repo_id", "path"], "left_anti").join(moved.select("repo_id", F.col("to").alias("path")), ["repo_id", "path"], "left_anti")
             reason = F.when(F.col("was").isNull(), "create").when(F.col("sha256").isNull(), "delete").otherwise("modify")

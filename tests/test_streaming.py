@@ -34,3 +34,13 @@ def test_changes_per_batch(spark):
     f(spark.createDataFrame([("r", "a", "1"), ("r", "b", "2"), ("r", "c", "3")], schema), 0)
     f(spark.createDataFrame([("r", "a", "9"), ("r", "d", "2"), ("r", "e", "5")], schema), 1)
     assert out[1] == [("r", "a", "modify"), ("r", "c", "delete"), ("r", "d", "rename"), ("r", "e", "create")]
+
+
+def test_every_pair_of_a_hash_is_renamed(spark):
+    out, held = [], [None]
+    keep = lambda df: held.__setitem__(0, spark.createDataFrame(df.collect(), df.schema))
+    f = pipelines.changes_per_batch(lambda df, _: out.append(sorted(map(tuple, df.collect()))), lambda: held[0], keep)
+    schema = "repo_id string, path string, sha256 string"
+    f(spark.createDataFrame([("r", "a", "1"), ("r", "b", "1"), ("r", "c", "1")], schema), 0)
+    f(spark.createDataFrame([("r", "x", "1"), ("r", "y", "1")], schema), 1)
+    assert out[1] == [("r", "c", "delete"), ("r", "x", "rename"), ("r", "y", "rename")]
