@@ -2,8 +2,8 @@
 
 A grammar is text: one rule a line, ``Name: alternative | alternative``; ``x?`` is optional, ``x*`` repeats. Names that have no
 rule are terminals. A token is the set of terminals that it can stand for. ``Grammar.cost`` gives the least number of token
-insertions, deletions and replacements that make a sequence derivable: first an ordinary Earley chart (cost zero), and only
-if that fails the same chart with costs under a budget that grows from one, so that search stops at the cheapest repair.
+insertions, deletions and replacements that make a sequence derivable: first an ordinary Earley chart (cost zero), if that
+fails the same chart with costs under a budget of one edit, and for several edits a table of all spans, filled by length.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
 
-#: Several edits are counted exactly in parts of at most so many tokens; the search grows with the square of the length.
-EXACT = 16
 #: A worker remembers the costs of at most so many parts; then it starts anew.
 REPAIRS = 1 << 15
 
@@ -61,6 +60,7 @@ class Grammar:
                     self.next.append(s)
                     self.lhs.append(k)
         self._memo: dict[tuple, int] = {}
+        self._tables: dict[str, _Table] = {}
         first: dict[str, set[str]] = {k: set() for k in self.rules}
         changed = True
         while changed:
@@ -131,69 +131,22 @@ class Grammar:
         return False
 
     def cost(self, tokens: Sequence[frozenset[str]], goal: str, exact: bool = True) -> int:
-        """The least number of edits; zero if the tokens derive from the goal as they are. If not exact, or for more than ``EXACT``
-        tokens, two stands for two or more."""
+        """The least number of edits; zero if the tokens derive from the goal as they are. If not exact, two stands for two or more."""
         key = (goal, exact, *tokens)
         got = self._memo.get(key)
         if got is None:
-            got = 0 if self.accepts(tokens, goal) else self._within(tokens, goal, 1) or (self._best_first(tokens, goal) if exact and len(tokens) <= EXACT else 2)
+            got = 0 if self.accepts(tokens, goal) else self._within(tokens, goal, 1) or (self._least(tokens, goal) if exact else 2)
             if len(self._memo) >= REPAIRS:
                 self._memo.clear()
             self._memo[key] = got
         return got
 
-    def _best_first(self, tokens: Sequence[frozenset[str]], goal: str) -> int:
-        """The least number of edits, by taking items in the order of the edits inside them (Knuth's generalisation)."""
-        nxt, lhs, start, rules, n = self.next, self.lhs, self.start, self.rules, len(tokens)
-        best: dict[tuple[int, int, int], int] = {}
-        waiting: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
-        complete: dict[tuple[str, int], dict[int, int]] = {}
-        layers: list[list[tuple[int, int, int]]] = [[]]
-        seen: set[tuple[str, int]] = {(goal, 0)}
-
-        def push(c: int, dot: int, origin: int, at: int) -> None:
-            k = (dot, origin, at)
-            if c < best.get(k, 1 << 30):
-                best[k] = c
-                while len(layers) <= c:
-                    layers.append([])
-                layers[c].append(k)
-
-        for d in start[goal]:
-            push(0, d, 0, 0)
-        while True:
-            # rules predicted late count their own edits from zero, so the least layer may change at every step
-            c = next((i for i, x in enumerate(layers) if x), -1)
-            if c < 0:
-                return max(1, n)
-            k = layers[c].pop()
-            if best[k] == c:
-                best[k] = -1  # closed
-                dot, origin, at = k
-                s = nxt[dot]
-                if s is None:
-                    name = lhs[dot]
-                    if name == goal and origin == 0:
-                        if at == n:
-                            return c
-                    ends = complete.setdefault((name, origin), {})
-                    if at not in ends:
-                        ends[at] = c
-                        for pd, po, pc in waiting.get((name, origin), ()):
-                            push(pc + c, pd + 1, po, at)
-                elif s in rules:
-                    waiting.setdefault((s, at), []).append((dot, origin, c))
-                    if (s, at) not in seen:
-                        seen.add((s, at))
-                        for d in start[s]:
-                            push(0, d, at, at)
-                    for end, cc in complete.get((s, at), {}).items():
-                        push(c + cc, dot + 1, origin, end)
-                else:
-                    push(c + 1, dot + 1, origin, at)  # insert
-                    if at < n:
-                        push(c + (s not in tokens[at]), dot + 1, origin, at + 1)  # take or replace
-                        push(c + 1, dot, origin, at + 1)  # delete the token in front of it
+    def _least(self, tokens: Sequence[frozenset[str]], goal: str) -> int:
+        """The least number of edits, whatever it is and however long the part."""
+        table = self._tables.get(goal)
+        if table is None:
+            table = self._tables[goal] = _Table(self.rules, goal)
+        return table.cost(tokens)
 
     def _within(self, tokens: Sequence[frozenset[str]], goal: str, budget: int) -> int | None:
         """The least number of edits if it is within the budget. Items hold the edits inside them; an item is dropped as soon as
@@ -249,3 +202,152 @@ class Grammar:
                         relax(here + 1, item, c + 1)  # delete
         ends = [c for (dot, origin), c in items[n].items() if nxt[dot] is None and lhs[dot] == goal and origin == 0]
         return min(ends) if ends and min(ends) <= budget else None
+
+
+class _Table:
+    """Least edits of every span, for the rules that a goal needs.
+
+    The rules are one automaton: a state is the set of what may still come, equal sets are one state, and a name is the state of
+    its alternatives. E[q, i, j], the least edits that make tokens i to j what may come in q, is the least of: token i deleted;
+    token i taken or replaced as a terminal; a name over i to k and the rest over k to j, for k between; and what another state
+    costs over the same span, plus all that is inserted around it (``closure``). Spans are filled by length, all of one
+    length at once. Only the states that a split reads are kept for all lengths.
+    """
+
+    #: More than any cost of a part of half as many tokens; a sum of three still fits 16 bits.
+    FAR = 10000
+
+    def __init__(self, rules: dict[str, list[tuple[str, ...]]], goal: str) -> None:
+        ids: dict[frozenset[tuple[str, ...]], int] = {}
+        ends: list[bool] = []
+        moves: list[dict[str, int]] = []
+        self.names: dict[str, int] = {}
+
+        def state(rest: frozenset[tuple[str, ...]]) -> int:
+            q = ids.get(rest)
+            if q is None:
+                q = ids[rest] = len(ends)
+                ends.append(() in rest)
+                moves.append({})
+                by: dict[str, set[tuple[str, ...]]] = {}
+                for r in rest:
+                    if r:
+                        by.setdefault(r[0], set()).add(r[1:])
+                moves[q] = {s: state(frozenset(x)) for s, x in sorted(by.items())}
+            return q
+
+        todo = [goal]
+        while todo:
+            name = todo.pop()
+            if name not in self.names:
+                first = len(moves)
+                self.names[name] = state(frozenset(rules[name]))
+                todo += [s for m in moves[first:] for s in m if s in rules]
+        self.goal, count, far = self.names[goal], len(ends), self.FAR
+        size = np.full(count, far, np.int32)  # edits when nothing is there: all is inserted
+        changed = True
+        while changed:
+            changed = False
+            for q in range(count):
+                least = 0 if ends[q] else min((min(far, (size[self.names[s]] if s in rules else 1) + size[t]) for s, t in moves[q].items()), default=far)
+                if least < size[q]:
+                    size[q], changed = least, True
+        closure = np.full((count, count), far, np.int32)
+        np.fill_diagonal(closure, 0)
+        takes: dict[tuple[int, int], set[str]] = {}
+        splits: list[tuple[int, int, int]] = []
+        for q in range(count):
+            for s, t in moves[q].items():
+                if s in rules:
+                    x = self.names[s]
+                    closure[q, t] = min(closure[q, t], size[x])
+                    closure[q, x] = min(closure[q, x], size[t])
+                    if moves[t]:  # with nothing to come, what follows the name is deleted inside it
+                        splits.append((q, x, t))
+                else:
+                    closure[q, t] = min(closure[q, t], 1)
+                    takes.setdefault((q, t), set()).add(s)
+        for k in range(count):
+            np.minimum(closure, closure[:, k, None] + closure[None, k], out=closure)
+        self.ends = np.array(ends)
+        self.size = size
+        # only what starts with a token or divides adds to the closure; deleting is in it already
+        own = sorted({q for q, _ in takes} | {q for q, _, _ in splits})
+        row = {q: k for k, q in enumerate(own)}
+        # names come first, the other states that are read get what they can from the names
+        hubs = sorted(self.names.values())
+        read = sorted(({t for _, t in takes} | {x for _, x, _ in splits} | {t for _, _, t in splits} | {self.goal}) - set(hubs))
+        self.of_hubs = _Least([(h, row[o], closure[h, o]) for h in hubs for o in own if closure[h, o] < far])
+        direct, through = [], []
+        for q in read:
+            by_hub = closure[q, hubs]
+            for o in np.flatnonzero((closure[q, own] < far) & (closure[q, own] < (by_hub[:, None] + closure[np.ix_(hubs, own)]).min(0))):
+                direct.append((q, o, closure[q, own[o]]))
+            near = list(np.flatnonzero(by_hub < far))
+            covers = by_hub[:, None] + closure[np.ix_(hubs, hubs)] <= by_hub
+            for h in tuple(near):
+                if any(covers[g, h] for g in near if g != h):
+                    near.remove(h)
+            through += [(q, hubs[h], by_hub[h]) for h in near]
+        self.of_read, self.of_names = _Least(direct), _Least(through)
+        self.own = len(own)
+        self.takes = [(frozenset(s), q, t) for (q, t), s in sorted(takes.items())]
+        self.take_to = np.array([t for _, _, t in self.takes], np.intp)
+        self.take = _Least([(row[q], k, 0) for k, (_, q, _) in enumerate(self.takes)])
+        made = sorted({(x, t) for _, x, t in splits})  # equal splits of several states are made once
+        self.split_left, self.split_right = np.array([x for x, _ in made], np.intp), np.array([t for _, t in made], np.intp)
+        at = {p: k for k, p in enumerate(made)}
+        self.split = _Least([(row[q], at[x, t], 0) for q, x, t in sorted(splits)])
+
+    def cost(self, tokens: Sequence[frozenset[str]]) -> int:
+        n = len(tokens)
+        kind, far = (np.int16, self.FAR) if n < self.FAR // 2 else (np.int32, 1 << 28)
+        now = np.repeat(np.where(self.size < self.FAR, self.size, far).astype(kind)[:, None], n + 1, 1)
+        wrong = np.array([[s.isdisjoint(t) for t in tokens] for s, _, _ in self.takes], kind).reshape(len(self.takes), n)
+        left, right = [now[:0]], [now[:0]]  # by length: what splits read, by start
+        for length in range(1, n + 1):
+            m = n - length + 1
+            before = now[:, 1:]
+            base = np.full((self.own, m), far, kind)
+            self.take.into(base, wrong[:, :m] + before[self.take_to])
+            if length > 1 and len(self.split_left):
+                best = left[1][:, :m] + right[length - 1][:, 1:]
+                both = np.empty_like(best)
+                for k in range(2, length):
+                    np.add(left[k][:, :m], right[length - k][:, k:], out=both)
+                    np.minimum(best, both, out=best)
+                self.split.into(base, best)
+            now = before + kind(1)
+            now[self.ends] = np.minimum(now[self.ends], kind(length))
+            self.of_hubs.into(now, base)
+            self.of_read.into(now, base)
+            self.of_names.into(now, now)
+            left.append(now[self.split_left])
+            right.append(now[self.split_right])
+        return int(now[self.goal, 0])
+
+
+class _Least:
+    """Rows that are the least of rows of another array, each plus a cost of its own; given as (row, other row, cost) by row."""
+
+    #: Numbers of an intermediate array, so that memory beside the tables is bounded.
+    CELLS = 1 << 20
+
+    def __init__(self, given: list[tuple[int, int, int]]) -> None:
+        rows = np.array([r for r, _, _ in given], np.intp)
+        self.at = np.flatnonzero(np.diff(rows, prepend=-1))
+        self.rows = rows[self.at]
+        self.other = np.array([o for _, o, _ in given], np.intp)
+        self.cost = np.array([c for _, _, c in given], np.int16)[:, None]
+        self.free = not self.cost.any()
+
+    def into(self, out: np.ndarray, other: np.ndarray) -> None:
+        """Lowers the rows of out."""
+        if not len(self.rows):
+            return
+        step = max(1, self.CELLS // len(self.other))
+        for i in range(0, out.shape[1], step):
+            got = other[self.other, i : i + step]
+            if not self.free:
+                got += self.cost
+            out[self.rows, i : i + step] = np.minimum(out[self.rows, i : i + step], np.minimum.reduceat(got, self.at, 0))

@@ -24,6 +24,48 @@ def test_minimum_edits():
     assert [g.cost(t(s), "S") for s in ("ab", "aabb", "aab", "a", "ba", "aaxbb", "")] == [0, 0, 1, 1, 2, 1, 2]
 
 
+def test_several_edits_are_counted_in_parts_of_any_length():
+    g = Grammar("S: a S b | a b")
+    for n in (2, 6, 9, 20, 60):
+        assert g.cost([frozenset(x) for x in "a" * n + "xxxx" + "b" * (n + 2)], "S") == 4  # three x become a, one becomes b
+        assert g.cost([frozenset(x) for x in "a" * n + "xxxx" + "b" * (n + 2)], "S", False) == 2
+    assert Grammar("S: a : b").cost([frozenset(x) for x in "x:yz"], "S") == 3  # what follows the last token is deleted
+    assert Grammar("S: a").cost([frozenset(x) for x in "a" + "x" * 40], "S") == 40
+    line = "x = " + " + ".join(f"a{i}" for i in range(12))
+    assert [syntax.check("py", line.replace(" +", "", k))[0] for k in range(6)] == [0, 1, 1, 2, 2, 3]  # of two missing signs a name between them becomes one
+
+
+def test_edits_agree_with_brute_force():
+    text = """S: a S b | T c? T* | U
+    T: d | a T
+    U: U , U | e"""
+    g, rules, n = Grammar(text), Grammar(text).rules, 9
+    seen, todo = {("S",)}, [("S",)]  # every sentence of up to n terminals, by leftmost derivation
+    while todo:
+        form = todo.pop()
+        k = next((k for k, s in enumerate(form) if s in rules), None)
+        for rhs in rules[form[k]] if k is not None else ():
+            new = (*form[:k], *rhs, *form[k + 1 :])
+            if len(new) <= n and new not in seen:
+                seen.add(new)
+                todo.append(new)
+    sentences = [f for f in seen if not any(s in rules for s in f)]
+
+    def distance(tokens, sentence):
+        row = list(range(len(sentence) + 1))
+        for i, t in enumerate(tokens):
+            last, row[0] = row[0], i + 1
+            for j, s in enumerate(sentence):
+                last, row[j + 1] = row[j + 1], min(last + (s not in t), row[j] + 1, row[j + 1] + 1)
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(60):
+        tokens = [frozenset(rng.sample("abcde,x", rng.choice((1, 1, 2)))) for _ in range(rng.randrange(6))]
+        least = min(distance(tokens, s) for s in sentences)  # longer sentences need five insertions, and d alone no more
+        assert g.cost(tokens, "S") == least, tokens
+
+
 GOOD = {
     "py": "import os\n\n@timed(3)\nasync def f(a, *b, c: int = 1, **d) -> list[int]:\n    '''x'''\n    if a and not b:\n        return [x for x in b if x]\n    else:\n        y = {**d, 'k': (1, 2)}\n    s = f\"a {a} {{\" \\\n        'b'\n    with open('x') as g, h: pass\n    lambda q, w=1: q if w else -1\n    x[1:2, ::3] @= yield_\n\n\nclass A(B, metaclass=C):\n    x: int\n",
     "java": 'package a.b;\nimport static a.B.*;\n@A("x")\npublic class X<T extends Y> extends Z implements Q<T> {\n  private static final Map<String, List<T>> m = new HashMap<>();\n  @Override public <R> R f(final Map<String, Long> a, int... b) throws E {\n    for (int i = 0; i < 3; i++) { m.put("}", x -> { return (long) x; }); }\n    for (var q : b) if (q > 1 && q < 3) continue; else break;\n    try (var r = open()) { g(); } catch (A | B e) { throw new C("(", e); } finally { }\n    int[] z = {1, 2,}; char c = \'{\'; String t = """\n      { """;\n    switch (x) { case 1: return; default: y++; }\n    return a.b().c(String::valueOf)[0] instanceof Foo f ? a : b;\n  }\n  enum E { A(1) { int v; }, B; int k; }\n}\n',
