@@ -48,17 +48,14 @@ class Grammar:
                     if rhs and rhs != (lhs,):
                         rules.setdefault(lhs, set()).add(rhs)
         self.rules = {k: sorted(v) for k, v in rules.items()}
-        # every dotted rule is a number: what comes next, the rule's name, and the number after moving the dot
-        self.next: list[str | None] = []
+        self.terminals = {s for alts in self.rules.values() for rhs in alts for s in rhs} - set(self.rules)
+        # the rules of a name are one automaton: a state is the set of what may still come, and equal sets are one state
         self.lhs: list[str] = []
-        self.start: dict[str, list[int]] = {}
-        for k, alts in self.rules.items():
-            self.start[k] = []
-            for rhs in alts:
-                self.start[k].append(len(self.next))
-                for s in (*rhs, None):
-                    self.next.append(s)
-                    self.lhs.append(k)
+        self.ends: list[bool] = []
+        self.names: list[list[tuple[str, int]]] = []  # by state: names that may come, and the state behind them
+        self.terms: list[list[tuple[frozenset[str], int]]] = []
+        self.start = {k: self._state(k, frozenset(alts), {}) for k, alts in self.rules.items()}
+        self.behind = [dict(x) for x in self.names]
         self._memo: dict[tuple, int] = {}
         self._tables: dict[str, _Table] = {}
         first: dict[str, set[str]] = {k: set() for k in self.rules}
@@ -72,14 +69,34 @@ class Grammar:
                         first[k] |= new
                         changed = True
         self.first = {k: frozenset(v) for k, v in first.items()}
-        self._begin: dict[tuple[str, frozenset[str]], list[int]] = {}
+        # as many as there are kinds of tokens, which are few, and states
+        self._steps: dict[frozenset[str], dict[int, tuple[list[tuple[str, int]], list[int]]]] = {}
 
-    def begin(self, name: str, token: frozenset[str]) -> list[int]:
-        """The rules of a name that can begin with the token."""
-        got = self._begin.get((name, token))
-        if got is None:
-            got = self._begin[name, token] = [d for d in self.start[name] if (self.first[s] & token if (s := self.next[d]) in self.first else s in token)]
-        return got
+    def _state(self, name: str, rest: frozenset[tuple[str, ...]], known: dict[frozenset[tuple[str, ...]], int]) -> int:
+        q = known.get(rest)
+        if q is None:
+            q = known[rest] = len(self.lhs)
+            self.lhs.append(name)
+            self.ends.append(() in rest)
+            self.names.append([])
+            self.terms.append([])
+            by: dict[str, set[tuple[str, ...]]] = {}
+            for r in rest:
+                if r:
+                    by.setdefault(r[0], set()).add(r[1:])
+            terms: dict[int, set[str]] = {}
+            for s, x in sorted(by.items()):
+                t = self._state(name, frozenset(x), known)
+                if s in self.rules:
+                    self.names[q].append((s, t))
+                else:
+                    terms.setdefault(t, set()).add(s)
+            self.terms[q] = [(frozenset(x), t) for t, x in terms.items()]
+        return q
+
+    def _step(self, q: int, token: frozenset[str]) -> tuple[list[tuple[str, int]], list[int]]:
+        """The names of a state that can begin with the token, and the states behind its terminals that the token can be."""
+        return [(s, t) for s, t in self.names[q] if self.first[s] & token], [t for s, t in self.terms[q] if s & token]
 
     def begins(self, tokens: Sequence[frozenset[str]], goal: str) -> bool:
         """Whether tokens could follow so that all derive from the goal."""
@@ -87,42 +104,42 @@ class Grammar:
 
     def accepts(self, tokens: Sequence[frozenset[str]], goal: str, part: bool = False) -> bool:
         """Whether the tokens derive from the goal, without any edit; if part, whether they begin something that does."""
-        nxt, lhs, rules = self.next, self.lhs, self.rules
+        lhs, ends, start = self.lhs, self.ends, self.start
         waiting: list[dict[str, list[tuple[int, int]]]] = []
         n = len(tokens)
-        items = [(d, 0) for d in self.begin(goal, tokens[0])] if n else []
+        items = {(start[goal], 0)} if n else set()
         for i in range(n + 1):
             wait: dict[str, list[tuple[int, int]]] = {}
             waiting.append(wait)
-            seen, todo, moved = set(items), items, []
+            seen, todo, moved = items, list(items), set()
             asked = {goal} if not i else set()
             done: set[tuple[str, int]] = set()
             token = tokens[i] if i < n else frozenset()
+            steps = self._steps.setdefault(token, {})
             while todo:
                 item = todo.pop()
-                dot, origin = item
-                s = nxt[dot]
-                if s is None:
-                    key = (lhs[dot], origin)
-                    if key in done:
-                        continue
+                q, origin = item
+                if ends[q] and (key := (lhs[q], origin)) not in done:
                     done.add(key)
-                    for d, o in waiting[origin].get(key[0], ()):
-                        new = (d + 1, o)
+                    for new in waiting[origin].get(key[0], ()):
                         if new not in seen:
                             seen.add(new)
                             todo.append(new)
-                elif s in rules:
-                    wait.setdefault(s, []).append(item)
+                step = steps.get(q)
+                if step is None:
+                    step = steps[q] = self._step(q, token)
+                for s, t in step[0]:
+                    if s in wait:
+                        wait[s].append((t, origin))
+                    else:
+                        wait[s] = [(t, origin)]
                     if s not in asked:
                         asked.add(s)
-                        for d in self.begin(s, token):
-                            new = (d, i)
-                            if new not in seen:
-                                seen.add(new)
-                                todo.append(new)
-                elif s in token:
-                    moved.append((dot + 1, origin))
+                        new = (start[s], i)
+                        seen.add(new)
+                        todo.append(new)
+                for t in step[1]:
+                    moved.add((t, origin))
             if i == n:
                 return part or (goal, 0) in done
             if not moved:
@@ -151,7 +168,7 @@ class Grammar:
     def _within(self, tokens: Sequence[frozenset[str]], goal: str, budget: int) -> int | None:
         """The least number of edits if it is within the budget. Items hold the edits inside them; an item is dropped as soon as
         the edits before it and inside it exceed the budget."""
-        nxt, lhs, rules, n = self.next, self.lhs, self.rules, len(tokens)
+        lhs, ended, n = self.lhs, self.ends, len(tokens)
         items: list[dict[tuple[int, int], int]] = [{} for _ in range(n + 2)]
         before: list[dict[str, int]] = [{} for _ in range(n + 2)]  # edits before a rule predicted here
         waiting: list[dict[str, set[tuple[int, int]]]] = [{} for _ in range(n + 2)]
@@ -167,40 +184,39 @@ class Grammar:
 
         here = 0
         before[0][goal] = 0
-        for d in self.start[goal]:
-            relax(0, (d, 0), 0)
+        relax(0, (self.start[goal], 0), 0)
         for here in range(n + 1):
             token = tokens[here] if here < n else frozenset()
             work = list(items[here])
             empty = {}
             while work:
                 item = work.pop()
-                dot, origin = item
-                c = items[here][item]
-                name, s = lhs[dot], nxt[dot]
-                if s is None:
+                q, origin = item
+                c, name = items[here][item], lhs[q]
+                if ended[q]:
                     if name == goal and origin == 0 and here < n:
                         relax(here + 1, item, c + 1)  # delete what follows
                     if origin == here:
                         empty[name] = min(c, empty.get(name, c))
-                    for pd, po in tuple(waiting[origin].get(name, ())):
-                        relax(here, (pd + 1, po), items[origin][(pd, po)] + c)
-                elif s in rules:
+                    for wq, wo in tuple(waiting[origin].get(name, ())):
+                        relax(here, (self.behind[wq][name], wo), items[origin][(wq, wo)] + c)
+                for s, t in self.names[q]:
                     waiting[here].setdefault(s, set()).add(item)
                     prefix = before[origin][name] + c
                     old = before[here].get(s)
                     if old is None or prefix < old:
                         before[here][s] = prefix
-                        for d in self.start[s] if prefix < budget else self.begin(s, token):
-                            relax(here, (d, here), 0, True)
+                        if prefix < budget or self.first[s] & token:
+                            relax(here, (self.start[s], here), 0, True)
                     if s in empty:
-                        relax(here, (dot + 1, origin), c + empty[s])
-                else:
-                    relax(here, (dot + 1, origin), c + 1)  # insert
+                        relax(here, (t, origin), c + empty[s])
+                for of, t in self.terms[q]:
+                    relax(here, (t, origin), c + 1)  # insert
                     if here < n:
-                        relax(here + 1, (dot + 1, origin), c + (s not in token))  # take or replace
-                        relax(here + 1, item, c + 1)  # delete
-        ends = [c for (dot, origin), c in items[n].items() if nxt[dot] is None and lhs[dot] == goal and origin == 0]
+                        relax(here + 1, (t, origin), c + of.isdisjoint(token))  # take or replace
+                if self.terms[q] and here < n:
+                    relax(here + 1, item, c + 1)  # delete
+        ends = [c for (q, origin), c in items[n].items() if ended[q] and lhs[q] == goal and origin == 0]
         return min(ends) if ends and min(ends) <= budget else None
 
 
@@ -303,7 +319,9 @@ class _Table:
         n = len(tokens)
         kind, far = (np.int16, self.FAR) if n < self.FAR // 2 else (np.int32, 1 << 28)
         now = np.repeat(np.where(self.size < self.FAR, self.size, far).astype(kind)[:, None], n + 1, 1)
-        wrong = np.array([[s.isdisjoint(t) for t in tokens] for s, _, _ in self.takes], kind).reshape(len(self.takes), n)
+        alike = list(dict.fromkeys(tokens))
+        at = {t: k for k, t in enumerate(alike)}
+        wrong = np.array([[s.isdisjoint(t) for t in alike] for s, _, _ in self.takes], kind).reshape(len(self.takes), len(alike))[:, [at[t] for t in tokens]]
         left, right = [now[:0]], [now[:0]]  # by length: what splits read, by start
         for length in range(1, n + 1):
             m = n - length + 1

@@ -49,8 +49,7 @@ class Language:
     def __init__(self, grammar: Grammar, lex: re.Pattern[str], words: frozenset[str], kinds: dict[str, list[Kind]], top: str, split: str, jsx: bool = False, bare: str | None = None) -> None:
         self.grammar, self.lex, self.words, self.kinds, self.top, self.split, self.jsx = grammar, lex, words, kinds, top, split, jsx
         self.bare, self.typed = bare or top, split != "js" or "TArgs" in grammar.rules
-        used = {s for s in grammar.next if s and s not in grammar.rules}
-        self.special = {w for w in used if re.fullmatch(r"[^\W\d]\w*", w) and w not in ("ID", "STR", "NUM", "TPL", "WORD", "JSX", "STAR", "POW", "QM", "NULLISH", "PIPE")} | words
+        self.special = {w for w in grammar.terminals if re.fullmatch(r"[^\W\d]\w*", w) and w not in ("ID", "STR", "NUM", "TPL", "WORD", "JSX", "STAR", "POW", "QM", "NULLISH", "PIPE")} | words
         self.sets: list[frozenset[str]] = []
         self.ids: dict[frozenset[str], int] = {}
         self.plain = self.of("ID")
@@ -419,7 +418,9 @@ class Parser:
                 continue
             g = stack[-1]
             if kind == "id":
-                g.add(word.get(m[0], plain), fresh, m.start())
+                g.items.append(word.get(m[0], plain))  # Group.add, for the most frequent token
+                g.breaks.append(fresh)
+                g.places.append(m.start())
             elif kind == "op":
                 x, at, item = m[0], m.start(), -1
                 if js and x in ("/", "/=", "`", "<"):
@@ -442,7 +443,9 @@ class Parser:
                     g.add(item, fresh, at)
                 else:
                     i = op.get(x)
-                    g.add(i if i is not None else op.setdefault(x, lang.of(_NAMES.get(x, x))), fresh, at)
+                    g.items.append(i if i is not None else op.setdefault(x, lang.of(_NAMES.get(x, x))))
+                    g.breaks.append(fresh)
+                    g.places.append(at)
             elif kind == "open":
                 stack.append(Group(m[0], m.start()))
                 freshes.append(fresh)
@@ -698,7 +701,8 @@ class PyParser(Parser):
                     indent, g = m.start() - line_start, stack[-1]
                 g.add(lang.word.get(m[0], lang.plain), False, m.start())
             elif kind == "op":
-                g.add(lang.ops(m[0])[0], False, m.start())
+                i = lang.op.get(m[0])
+                g.add(i if i is not None else lang.ops(m[0])[0], False, m.start())
             elif kind == "open":
                 stack.append(Group(m[0], m.start()))
             elif kind == "close":
